@@ -37,8 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether they decode to its text."""
     vocabulary = bpe.read_vocabulary(queries.VOCABULARY)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
-    return bpe.decode(coded, vocabulary).selectExpr("doc_id", "lang", "source", "size(token_ids) AS n_tokens", "token_ids", "decoded = coalesce(text, '') AS round_trip")
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary)
+    return coded.selectExpr("doc_id", "lang", "source", "size(token_ids) AS n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [

@@ -27,8 +27,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-import sys
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,11 +48,24 @@ _NEW = "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) f
 LETTER, DIGIT, OTHER = rf"[\p{{L}}--{_NEW}]", rf"[\p{{N}}--{_NEW}]", rf"[[^\s\p{{L}}\p{{N}}]||{_NEW}]"
 #: The byte-level pre-tokeniser's pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{DIGIT}+| ?{OTHER}+|\s+(?!\S)|\s+"
-CHUNK, LONG, REMEMBERED, SHORT = 1 << 16, 1 << 12, 300_000, 48
+CHUNK, LONG, REMEMBERED, SHORT = 1 << 16, 1 << 12, 150_000, 48
+#: Places of the arrays in which new words are merged side by side; bounds their temporaries.
+PLACES = 1 << 17
+#: Bytes of text that are encoded at a time, where no text is longer.
+PIECE = 1 << 20
 MAX_FILE = 64 << 20
 _NEVER = 1 << 60
 
 
+def packed(tokens: Iterable[int]) -> bytes:
+    """Tokens as 32-bit integers in the machine's order: a seventh of a list's memory."""
+    return np.fromiter(tokens, np.int32).tobytes()
+
+
+def unpacked(data: bytes | bytearray) -> list[int]:
+    return np.frombuffer(data, np.int32).tolist()
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write bytes as: printable Latin-1 as itself, others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -92,7 +103,7 @@ class Merges:
         self._byte_at[self._bytes] = np.arange(256)
         self._first = np.full((257, 257), _NEVER)
         self._first[:256, :256] = self._ranks(self._bytes[:, None], self._bytes[None, :])
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # packed tokens of a word
 
     def _lookahead(self) -> int:
         right: dict[int, int] = {}  # of a token its right part
@@ -118,8 +129,9 @@ class Merges:
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         for low, high in ((0, 8), (8, 16), (16, 4 * SHORT)):
             own = np.flatnonzero((sizes > low) & (sizes <= high))
-            for a in range(0, len(own), 1 << 14):
-                part = own[a : a + (1 << 14)].tolist()
+            most = PLACES // high
+            for a in range(0, len(own), most):
+                part = own[a : a + most].tolist()
                 for i, found in zip(part, self._merged([data[i] for i in part]), strict=True):
                     self.known[new[i]] = found
 
@@ -128,7 +140,7 @@ class Merges:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._values[at], _NEVER)
 
-    def _merged(self, data: list[bytes]) -> list[list[int]]:
+    def _merged(self, data: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         n, width = len(data), int(sizes.max())
         ids = np.full((n, width + 1), -1)
@@ -143,8 +155,10 @@ class Merges:
             best = ranks[all_, at]
             done = best == _NEVER
             if done.any():
-                for i, tokens in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
-                    out[i] = tokens[: tokens.index(-1)]
+                ended = ids[done].astype(np.int32)
+                whole, width4 = ended.tobytes(), 4 * ended.shape[1]
+                for j, (i, n) in enumerate(zip(rows[done].tolist(), (ended >= 0).sum(axis=1).tolist(), strict=True)):
+                    out[i] = whole[j * width4 : j * width4 + 4 * n]
                 rows, ids, ranks, at, best = rows[~done], ids[~done], ranks[~done], at[~done], best[~done]
                 all_ = np.arange(len(rows))
                 if not len(rows):
@@ -224,22 +238,22 @@ class Encoder:
         self.merges = merges
         self.tail, self.window, self.kind = "", None, ""
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         m = self.merges
         found = m.known.get(word)
         if found is None:
             data = word.encode()
             if len(data) > 4 * m.lookahead and len(data) > 256:
                 window = Window(m)
-                return [*window.feed(data), *window.end()]
-            found = m.merge(data)
+                return packed(window.feed(data)) + packed(window.end())
+            found = packed(m.merge(data))
             if len(word) <= SHORT:
                 if len(m.known) >= REMEMBERED:
                     m.known.clear()
                 m.known[word] = found
         return found
 
-    def feed(self, chunk: str, out: list[int]) -> None:
+    def feed(self, chunk: str, out: bytearray) -> None:
         if self.window:
             chunk = self._run(self.tail + chunk, out)
             if chunk is None:
@@ -259,7 +273,7 @@ class Encoder:
             if len(self.tail) > LONG:
                 self._begin(out)
 
-    def _begin(self, out: list[int]) -> None:
+    def _begin(self, out: bytearray) -> None:
         """The word held is long: from here its run goes through a window."""
         last = self.tail[-1]
         self.kind = next(k for k, p in _RUNS.items() if p.match(last))
@@ -267,34 +281,34 @@ class Encoder:
         text, self.tail = self.tail, ""
         if self.kind == "S":
             text, self.tail = text[:-1], text[-1]  # the last white space may belong to the next word
-        out += self.window.feed(text.encode())
+        out += packed(self.window.feed(text.encode()))
 
-    def _run(self, text: str, out: list[int]) -> str | None:
+    def _run(self, text: str, out: bytearray) -> str | None:
         """Feed the rest of the long run; what follows it, or None if it may go on."""
         self.tail = ""
         found = _RUNS[self.kind].match(text)
         end = found.end() if found else 0
         if end == len(text):
             keep = 1 if self.kind == "S" and end else 0
-            out += self.window.feed(text[: end - keep].encode())
+            out += packed(self.window.feed(text[: end - keep].encode()))
             self.tail = text[end - keep :]
             return None
         keep = 1 if self.kind == "S" else 0
-        out += self.window.feed(text[: end - keep].encode())
-        out += self.window.end()
+        out += packed(self.window.feed(text[: end - keep].encode()))
+        out += packed(self.window.end())
         self.window = None
         return text[end - keep :]
 
-    def end(self, out: list[int]) -> None:
+    def end(self, out: bytearray) -> None:
         if self.window:
-            out += self.window.feed(self.tail.encode())
-            out += self.window.end()
+            out += packed(self.window.feed(self.tail.encode()))
+            out += packed(self.window.end())
         else:
             for w in _WORDS.findall(self.tail):
                 out += self.word(w)
         self.tail, self.window = "", None
 
-    def plain(self, text: str, out: list[int]) -> None:
+    def plain(self, text: str, out: bytearray) -> None:
         if len(text) <= CHUNK:  # all of it is one chunk, so every word is final
             self._known(_WORDS.findall(text), out)
             return
@@ -302,37 +316,41 @@ class Encoder:
             self.feed(text[a : a + CHUNK], out)
         self.end(out)
 
-    def _known(self, words: list[str], out: list[int]) -> None:
+    def _known(self, words: list[str], out: bytearray) -> None:
         get = self.merges.known.get
         for w in words:
             out += get(w) or self.word(w)
 
-    def many(self, texts: list[str]) -> list[list[int]]:
-        """Tokens of each text; the words of all short ones are looked up together."""
+    def packed(self, texts: list[str]) -> list[bytearray]:
+        """Packed tokens of each text; the words of all short ones are looked up together."""
         special = self.merges.special
         words = [_WORDS.findall(t) if len(t) <= CHUNK and not any(s in t for s in special) else None for t in texts]
         self.merges.learn(w for own in words if own for w in own)
         out = []
         for text, own in zip(texts, words, strict=True):
+            out.append(bytearray())
             if own is None:
-                out.append(self.tokens(text))
+                self._whole(text, out[-1])
             else:
-                out.append([])
                 self._known(own, out[-1])
         return out
 
+    def many(self, texts: list[str]) -> list[list[int]]:
+        return [unpacked(x) for x in self.packed(texts)]
+
     def tokens(self, text: str) -> list[int]:
-        out: list[int] = []
+        out = bytearray()
+        self._whole(text, out)
+        return unpacked(out)
+
+    def _whole(self, text: str, out: bytearray) -> None:
         special, at = self.merges.special, 0
-        if not any(s in text for s in special):
-            self.plain(text, out)
-            return out
-        for found in regex.finditer("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text):
-            self.plain(text[at : found.start()], out)
-            out.append(special[found[0]])
-            at = found.end()
+        if any(s in text for s in special):
+            for found in regex.finditer("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text):
+                self.plain(text[at : found.start()], out)
+                out += packed([special[found[0]]])
+                at = found.end()
         self.plain(text[at:], out)
-        return out
 
 
 class Decoder:
@@ -369,29 +387,67 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-def little_endian(tokens: list[int]) -> bytes:
-    held = array("I", tokens)
-    if sys.byteorder == "big":
-        held.byteswap()
-    return held.tobytes()
+def little_endian(tokens: bytes | bytearray) -> bytes:
+    return np.frombuffer(tokens, np.int32).astype("<u4").tobytes()
+
+
+def _encoded(array: pa.Array, encoder: Encoder) -> Iterator[tuple[int, int, list[bytearray]]]:
+    """Packed tokens of a column's texts, a range of rows at a time."""
+    body, offsets = K.column(array)
+    for a, b in K.pieces(offsets, PIECE):
+        yield a, b, encoder.packed([str(body[x:y], "utf-8") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
+
+
+def _arrays(found: list[bytearray]) -> pa.Array:
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))]))
+
+
+def _text(tokens: np.ndarray, merges: Merges) -> Iterator[str]:
+    """What tokens decode to, in parts; a token that the vocabulary lacks is left out."""
+    decoder, known = Decoder(merges), merges.bytes_of
+    for i in range(0, len(tokens), 1 << 14):
+        yield decoder.feed(t for t in tokens[i : i + (1 << 14)].tolist() if t in known)
+    yield decoder.end()
 
 
 def encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """All columns of the rows, and the tokens of their text as `out_col` (array of int)."""
+    return _transduce(df, vocabulary, text_col, out_col, None)
+
+
+def round_trip(df: DataFrame, vocabulary: bytes, text_col: str = "text", out_col: str = "token_ids", same_col: str = "round_trip") -> DataFrame:
+    """As `encode`, and in the same pass whether the tokens decode to the text, as `same_col`."""
+    return _transduce(df, vocabulary, text_col, out_col, same_col)
+
+
+def _transduce(df: DataFrame, vocabulary: bytes, text_col: str, out_col: str, same_col: str | None) -> DataFrame:
     spark = df.sparkSession
     S.tune(spark)
     shared, at = spark.sparkContext.broadcast(vocabulary), df.columns.index(text_col)
 
+    def same(text: str, tokens: bytearray, merges: Merges) -> bool:
+        i = 0
+        for part in _text(np.frombuffer(tokens, np.int32), merges):
+            if not text.startswith(part, i):
+                return False
+            i += len(part)
+        return i == len(text)
+
     def run(batches):
         for batch in batches:
-            body, offsets = K.column(batch.column(at))
-            encoder = Encoder(loaded(shared.value))
-            for a, b in K.pieces(offsets, 1 << 20):
-                found = encoder.many([body[x:y].tobytes().decode() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
+            merges = loaded(shared.value)
+            for a, b, found in _encoded(batch.column(at), Encoder(merges)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, out_col])
+                columns, names = [*part.columns, _arrays(found)], [*batch.schema.names, out_col]
+                if same_col:
+                    texts = part.column(at)
+                    columns.append(pa.array([same(texts[i].as_py() or "", x, merges) for i, x in enumerate(found)], pa.bool_()))
+                    names.append(same_col)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields]).add(out_col, T.ArrayType(T.IntegerType())))
+    shape = T.StructType([*df.schema.fields]).add(out_col, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, shape.add(same_col, "boolean") if same_col else shape)
 
 
 def digests(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,16 +458,13 @@ def digests(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            merges = loaded(shared.value)
-            encoder, rows = Encoder(merges), []
-            body, offsets = K.column(batch.column(1))
-            for a, b in K.pieces(offsets, 1 << 20):
-                for tokens in encoder.many([body[x:y].tobytes().decode() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]):
-                    decoder, text = Decoder(merges), hashlib.sha256()
-                    for i in range(0, len(tokens), 1 << 14):
-                        text.update(decoder.feed(tokens[i : i + (1 << 14)]).encode())
-                    text.update(decoder.end().encode())
-                    rows.append((len(tokens), hashlib.sha256(little_endian(tokens)).hexdigest(), text.hexdigest()))
+            merges, rows = loaded(shared.value), []
+            for _, _, found in _encoded(batch.column(1), Encoder(merges)):
+                for tokens in found:
+                    text = hashlib.sha256()
+                    for part in _text(np.frombuffer(tokens, np.int32), merges):
+                        text.update(part.encode())
+                    rows.append((len(tokens) >> 2, hashlib.sha256(little_endian(tokens)).hexdigest(), text.hexdigest()))
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -426,10 +479,8 @@ def decode(df: DataFrame, vocabulary: bytes, tokens_col: str = "token_ids", out_
 
     def run(batches):
         for batch in batches:
-            merges, texts = loaded(shared.value), []
-            for tokens in batch.column(at).to_pylist():
-                decoder = Decoder(merges)
-                texts.append(None if tokens is None else decoder.feed(t for t in tokens if t in merges.bytes_of) + decoder.end())
+            merges, column = loaded(shared.value), batch.column(at)
+            texts = ["".join(_text(row.values.drop_null().to_numpy(), merges)) if row.is_valid else None for row in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields]).add(out_col, "string"))
