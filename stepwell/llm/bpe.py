@@ -27,6 +27,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,8 +48,8 @@ NEWER = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2
 _NEW = "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) for part in NEWER.split()) + "]"
 LETTER, DIGIT, OTHER = rf"[\p{{L}}--{_NEW}]", rf"[\p{{N}}--{_NEW}]", rf"[[^\s\p{{L}}\p{{N}}]||{_NEW}]"
 #: The byte-level pre-tokeniser's pattern.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{DIGIT}+| ?{OTHER}+|\s+(?!\S)|\s+"
-CHUNK, LONG, REMEMBERED, SHORT = 1 << 16, 1 << 12, 150_000, 48
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?{}+| ?{}+| ?{}+|\\s+(?!\\S)|\\s+"
+CHUNK, LONG, REMEMBERED, SHORT = 1 << 16, 1 << 12, 300_000, 48
 #: Places of the arrays in which new words are merged side by side; bounds their temporaries.
 PLACES = 1 << 17
 #: Bytes of text that are encoded at a time, where no text is longer.
@@ -124,7 +125,7 @@ class Merges:
         """Merge all words not known yet side by side, in arrays: what `merge` does for one."""
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known and len(w) <= SHORT]
+        new = [w for w in set(words).difference(self.known) if len(w) <= SHORT]
         data = [w.encode() for w in new]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         for low, high in ((0, 8), (8, 16), (16, 4 * SHORT)):
@@ -227,10 +228,23 @@ class Window:
         self.held = b""
 
 
-_WORDS = regex.compile(PATTERN, regex.V1)
+_WORDS = regex.compile(PATTERN.format(LETTER, DIGIT, OTHER), regex.V1)
+#: The same for texts that need less: without the newer letters, and in ASCII.
+_OLDER = regex.compile(PATTERN.format(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"), regex.V1)
+_ASCII = re.compile(PATTERN.format("[A-Za-z]", "[0-9]", r"[^\sA-Za-z0-9]"), re.ASCII)
+_LATE, _NEWER = re.compile(f"[\\U{int(NEWER.split()[0], 16):08X}-\\U0010FFFF]"), re.compile(_NEW)
 _RUNS = {"L": regex.compile(f"{LETTER}+", regex.V1), "N": regex.compile(f"{DIGIT}+", regex.V1), "O": regex.compile(f"{OTHER}+", regex.V1), "S": regex.compile(r"\s+", regex.V1)}
 
 
+def words_of(text: str) -> list[str]:
+    """The pre-tokeniser's pieces of a text."""
+    if text.isascii():
+        return _ASCII.findall(text)
+    if _LATE.search(text) and _NEWER.search(text):
+        return _WORDS.findall(text)
+    return _OLDER.findall(text)
+
+
 class Encoder:
     """Text in, tokens out, chunk by chunk; `tokens(text)` does a whole text in chunks."""
 
@@ -259,7 +273,7 @@ class Encoder:
             if chunk is None:
                 return
         text = self.tail + chunk
-        words = _WORDS.findall(text)
+        words = words_of(text)
         self.merges.learn(words)
         # the last word may go on, and the one before may turn out to be the quote of a contraction
         get = self.merges.known.get
@@ -304,28 +318,29 @@ class Encoder:
             out += packed(self.window.feed(self.tail.encode()))
             out += packed(self.window.end())
         else:
-            for w in _WORDS.findall(self.tail):
+            for w in words_of(self.tail):
                 out += self.word(w)
         self.tail, self.window = "", None
 
     def plain(self, text: str, out: bytearray) -> None:
         if len(text) <= CHUNK:  # all of it is one chunk, so every word is final
-            self._known(_WORDS.findall(text), out)
+            self._known(words_of(text), out)
             return
         for a in range(0, len(text), CHUNK):
             self.feed(text[a : a + CHUNK], out)
         self.end(out)
 
     def _known(self, words: list[str], out: bytearray) -> None:
-        get = self.merges.known.get
-        for w in words:
-            out += get(w) or self.word(w)
+        found = list(map(self.merges.known.get, words))
+        if None in found:
+            found = [x or self.word(w) for w, x in zip(words, found, strict=True)]
+        out += b"".join(found)
 
     def packed(self, texts: list[str]) -> list[bytearray]:
         """Packed tokens of each text; the words of all short ones are looked up together."""
         special = self.merges.special
-        words = [_WORDS.findall(t) if len(t) <= CHUNK and not any(s in t for s in special) else None for t in texts]
-        self.merges.learn(w for own in words if own for w in own)
+        words = [words_of(t) if len(t) <= CHUNK and not any(s in t for s in special) else None for t in texts]
+        self.merges.learn(set().union(*filter(None, words)))
         out = []
         for text, own in zip(texts, words, strict=True):
             out.append(bytearray())
@@ -407,7 +422,8 @@ def _text(tokens: np.ndarray, merges: Merges) -> Iterator[str]:
     """What tokens decode to, in parts; a token that the vocabulary lacks is left out."""
     decoder, known = Decoder(merges), merges.bytes_of
     for i in range(0, len(tokens), 1 << 14):
-        yield decoder.feed(t for t in tokens[i : i + (1 << 14)].tolist() if t in known)
+        part = tokens[i : i + (1 << 14)].tolist()
+        yield decoder.feed(part if known.keys() >= set(part) else [t for t in part if t in known])
     yield decoder.end()
 
 
