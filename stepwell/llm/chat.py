@@ -9,10 +9,13 @@ Any other text is plain content.
 * Calls and results are joined by (conversation, identifier), a hash join.
 * Order: a result comes after its call, and a call after the results that it names in
   ``after``.  Places are (turn, step): a message that would come too early moves to its
-  cause's turn, with a larger step.  Causes are followed by joins, one round a link of the
-  longest chain, on the few rows that have causes; a cycle is cut after `max_chain` rounds
-  and marked.  No conversation is ever gathered: each message is one row, and sorting by
-  (conversation, turn_at, step, turn, seq) gives the formatted order.
+  cause's turn, with a larger step.  Causes are followed by joins to the end of the longest
+  chain, in the conversations where a message comes no later than its cause: messages with
+  one cause by doubling, those with several in one round a link between such messages.
+  What peeling from either side leaves is on a cycle, or between two, and is marked; there
+  only links that go forward by (turn, seq) count.  No conversation is ever gathered: each
+  message is one row, and sorting by (conversation, turn_at, step, turn, seq) gives the
+  formatted order.
 * Arguments are checked against the schemas given by tool name: a subset of JSON Schema
   (type, required, properties, items, enum, additionalProperties, minimum, maximum).
 * Each message is serialised as canonical JSON: sorted keys, no white space, UTF-8.
@@ -27,6 +30,7 @@ is plain content.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 from typing import Any
 
@@ -139,7 +143,7 @@ def _parse(schemas: dict[str, dict]):
     return run
 
 
-def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_chain: int = 32) -> DataFrame:
+def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv, turn, turn_at, step, seq, role, json, n_calls, link (its call's seq), orphan, unanswered, repeated, cyclic, errors."""
     S.tune(df.sparkSession)
     named = lambda c, kind: F.col(f"`{c}`").cast(kind)
@@ -158,7 +162,7 @@ def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str =
     causes = linked.filter("call_seq is not null").select("seq", F.col("call_seq").alias("cause"))
     causes = causes.union(needs.join(answered, F.col("nc").eqNullSafe(F.col("conv")) & (F.col("need") == F.col("result"))).select("seq", "cause")).filter("seq != cause").distinct()
     causes = S.save(causes, "causes")
-    places = _places(parsed.select("seq", "turn"), causes, max_chain)
+    places = _places(parsed.select("conv", "seq", "turn"), causes)
     per = calls.groupBy("seq").agg(F.max(F.when(F.col("nth") > 1, True).otherwise(False)).alias("repeated"))
     open_calls = calls.filter("nth = 1").select("conv", "call", F.col("seq").alias("s")).join(linked.select(F.col("conv").alias("lc"), "result").distinct(), F.col("conv").eqNullSafe(F.col("lc")) & (F.col("call") == F.col("result")), "left_anti")
     open_calls = open_calls.groupBy(F.col("s").alias("seq")).agg(F.lit(True).alias("unanswered"))
@@ -171,22 +175,72 @@ def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str =
     )
 
 
-def _places(messages: DataFrame, causes: DataFrame, max_chain: int) -> DataFrame:
+_UNKNOWN = -(1 << 62)
+
+
+def _places(messages: DataFrame, causes: DataFrame) -> DataFrame:
     """(seq, turn_at, step, cyclic) of messages with causes: the largest place among the causes', and a step more."""
-    if causes.isEmpty():
+    own = messages.select("conv", "seq", F.coalesce("turn", F.lit(_UNKNOWN)).alias("t"))
+    edges = causes.join(own, "seq").join(own.select(F.col("seq").alias("cause"), F.col("t").alias("ct")), "cause")
+    edges = S.save(edges.select("conv", "seq", "t", "cause", "ct"), "links")
+    late = edges.filter("ct >= t").select(F.col("conv").alias("lc")).distinct()  # elsewhere nothing moves
+    edges = S.save(edges.join(late, F.col("conv").eqNullSafe(F.col("lc")), "left_semi").drop("conv"), "links")
+    if edges.isEmpty():
         return messages.limit(0).select("seq", F.col("turn").alias("turn_at"), F.lit(0).alias("step"), F.lit(False).alias("cyclic"))
-    concerned = causes.select("seq").union(causes.select("cause")).distinct()
-    own = messages.join(concerned, "seq").select("seq", F.coalesce("turn", F.lit(-(1 << 62))).alias("t"))
-    now = S.save(own.select("seq", "t", F.col("t").alias("turn_at"), F.lit(0).alias("step")), "places")
-    rounds = 0
-    while True:
-        theirs = now.select(F.col("seq").alias("cause"), F.struct("turn_at", (F.col("step") + 1).alias("step")).alias("place"))
-        pushed = causes.join(theirs, "cause").groupBy("seq").agg(F.max("place").alias("place"))
-        mine = F.struct("turn_at", "step")
-        best = F.when(F.col("place").isNotNull() & (F.col("place.turn_at") >= F.col("t")), F.greatest(mine, F.col("place"))).otherwise(mine)
-        after = S.save(now.join(pushed, "seq", "left").withColumn("best", best).select("seq", "t", F.col("best.turn_at").alias("turn_at"), F.col("best.step").alias("step"), (best != mine).alias("moved")), "places")
-        rounds += 1
-        if rounds >= max_chain or after.filter("moved").isEmpty():
-            unknown = F.col("turn_at") == -(1 << 62)
-            return after.select("seq", F.when(~unknown, F.col("turn_at")).alias("turn_at"), "step", F.col("moved").alias("cyclic"))
-        now = after.drop("moved")
+    nodes = S.save(edges.select("seq", "t").union(edges.select(F.col("cause").alias("seq"), F.col("ct").alias("t"))).distinct(), "nodes")
+    places = _settled(nodes, edges)
+    left = S.save(nodes.join(places, "seq", "left_anti"), "left")
+    cyclic = left.select("seq", F.lit(True).alias("cyclic"))
+    if not left.isEmpty():  # on a cycle or behind one: peeled from the other side too
+        inner = edges.join(left.select("seq"), "seq", "left_semi").join(left.select(F.col("seq").alias("cause")), "cause", "left_semi")
+        behind = _settled(left, inner.select(F.col("cause").alias("seq"), F.col("seq").alias("cause")))
+        core = S.save(left.join(behind, "seq", "left_anti").select("seq"), "core")
+        cyclic = core.withColumn("cyclic", F.lit(True))
+        within = edges.join(core, "seq", "left_semi").join(core.select(F.col("seq").alias("cause")), "cause", "left_semi")
+        cut = within.filter("ct > t or (ct = t and cause > seq)").select("seq", "cause")
+        places = _settled(nodes, S.save(edges.join(cut, ["seq", "cause"], "left_anti"), "links"))
+    known = F.when(F.col("turn_at") != _UNKNOWN, F.col("turn_at")).alias("turn_at")
+    return places.join(cyclic, "seq", "left").select("seq", known, F.col("step").cast("int").alias("step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _settled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seq, turn_at, step) of the nodes (seq, t) that no cycle leads to, by links (seq, cause).
+
+    A node with one cause has a place of the form max(own, place of `p` + k steps); such forms are
+    composed until `p` is a node without causes or with several.  Those with several are settled
+    once all their causes are.
+    """
+    n = nodes.count()
+    degrees = edges.groupBy("seq").agg(F.count("*").alias("n"), F.min("cause").alias("p"))
+    of = S.save(nodes.join(degrees, "seq", "left").select("seq", "t", "p", F.coalesce("n", F.lit(0)).alias("n")), "degrees")
+    place = lambda turn, step: F.struct(turn.alias("turn_at"), step.alias("step"))
+    later = lambda x, k: place(x["turn_at"], x["step"] + k)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    chains = S.save(of.filter("n = 1").select("seq", "p", place(F.col("t"), zero).alias("own"), one.alias("k"), F.lit(True).alias("open")), "chains")
+    while not chains.filter(F.col("open") & (F.col("k") <= n)).isEmpty():  # a chain of more links than nodes ends in a cycle
+        theirs = chains.select(F.col("seq").alias("p"), F.col("p").alias("p2"), F.col("own").alias("own2"), F.col("k").alias("k2"))
+        more = F.col("p2").isNotNull() & (F.col("k") <= n)
+        chains = S.save(
+            chains.join(theirs, "p", "left").select(
+                "seq", F.when(more, F.col("p2")).otherwise(F.col("p")).alias("p"), F.when(more, F.greatest("own", later(F.col("own2"), F.col("k")))).otherwise(F.col("own")).alias("own"),
+                F.when(more, F.col("k") + F.col("k2")).otherwise(F.col("k")).alias("k"), F.col("p2").isNotNull().alias("open"),
+            ), "chains",
+        )
+    new = S.save(of.filter("n = 0").select("seq", place(F.col("t"), zero).alias("place")), "settled")
+    found = [new]
+    several = edges.select("seq", "cause").join(of.filter("n > 1").select("seq", "t"), "seq")
+    forms = chains.select(F.col("seq").alias("cause"), F.col("p").alias("p1"), F.col("own").alias("own1"), F.col("k").alias("k1"))
+    several = several.join(forms, "cause", "left").select("seq", "t", F.coalesce("p1", "cause").alias("p"), F.col("own1").alias("own"), F.coalesce("k1", zero).alias("k"), F.lit(None).cast(new.schema["place"].dataType).alias("place"))
+    several = S.save(several, "several")
+    while not several.isEmpty() and not new.isEmpty():
+        theirs = new.select(F.col("seq").alias("p"), F.col("place").alias("theirs"))
+        reached = F.when(F.col("theirs").isNotNull(), later(F.greatest("own", later(F.col("theirs"), F.col("k"))), 1))
+        several = several.join(theirs, "p", "left").select("seq", "t", "p", "own", "k", F.coalesce("place", reached).alias("place"))
+        several = S.save(several.withColumn("all", F.count("place").over(W.partitionBy("seq")) == F.count("*").over(W.partitionBy("seq"))), "several")
+        new = S.save(several.filter("all").groupBy("seq").agg(F.greatest(place(F.first("t"), zero), F.max("place")).alias("place")), "settled")
+        several = several.filter("not all").drop("all")
+        found.append(new)
+    known = S.save(functools.reduce(DataFrame.union, found), "settled")
+    ends = chains.join(known.select(F.col("seq").alias("p"), F.col("place").alias("theirs")), "p")
+    ends = ends.select("seq", F.greatest("own", later(F.col("theirs"), F.col("k"))).alias("place"))
+    return S.save(known.union(ends).select("seq", "place.turn_at", "place.step"), "places")

@@ -82,6 +82,36 @@ def test_chat(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def test_chat_long_chains(spark):
+    """Chains beyond 32 links, of one cause and of two a message, arriving in reverse, and a cycle with what follows it."""
+    call = lambda i, *after: json.dumps({"content": "", "tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x"}, "after": list(after)}]})
+    result = lambda i: json.dumps({"tool_call_id": i, "content": "r"})
+    n, rows = 25, []
+    for i in range(n):  # all in one turn, with null turns, in reverse
+        for conv, turn_of in ((1, lambda k: 7), (2, lambda k: None), (3, lambda k: 1000 - k)):
+            rows += [(conv, turn_of(2 * i), "assistant", call(f"c{i}", *([f"c{i - 1}"] if i else []))), (conv, turn_of(2 * i + 1), "tool", result(f"c{i}"))]
+    for i in range(4):  # two causes a call
+        rows += [(4, 5, "assistant", call(f"{x}{i}", *([f"a{i - 1}", f"b{i - 1}"] if i else []))) for x in "ab"] + [(4, 5, "tool", result(f"{x}{i}")) for x in "ab"]
+    rows += [(5, 9, "assistant", call("m", "n")), (5, 9, "tool", result("m")), (5, 9, "assistant", call("n", "m")), (5, 9, "tool", result("n"))]
+    rows += [(5, 3, "assistant", call("z", "n")), (5, 2, "tool", result("z")), (5, 4, "assistant", call("y")), (5, 1, "tool", result("y"))]
+    got = chat.link(spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string").repartition(3), queries.TOOL_SCHEMAS).collect()
+    assert len(got) == len(rows)
+    named = {}
+    for x in got:
+        found = json.loads(x.json)
+        named[x.conv, x.role, found["tool_calls"][0]["id"] if "tool_calls" in found else found["tool_call_id"]] = x
+    for conv, at in ((1, 7), (2, None), (3, 1000)):
+        for i in range(n):
+            assert [(x.turn_at, x.step, x.cyclic) for x in (named[conv, "assistant", f"c{i}"], named[conv, "tool", f"c{i}"])] == [(at, 2 * i, False), (at, 2 * i + 1, False)]
+    for i in range(4):
+        for x in "ab":
+            assert [named[4, k, f"{x}{i}"].step for k in ("assistant", "tool")] == [2 * i, 2 * i + 1]
+    assert {(k, i) for (conv, k, i), x in named.items() if x.cyclic} == {("assistant", "m"), ("tool", "m"), ("assistant", "n"), ("tool", "n")}
+    last = [named[5, "tool", "n"], named[5, "assistant", "z"], named[5, "tool", "z"]]
+    assert [x.turn_at for x in last] == [9, 9, 9] and last[0].step + 2 == last[1].step + 1 == last[2].step
+    assert (named[5, "assistant", "y"].turn_at, named[5, "tool", "y"].turn_at, named[5, "tool", "y"].step) == (4, 4, 1)
+
+
 # ---------------------------------------------------------------- BPE
 
 PATH = queries.VOCABULARY
