@@ -7,12 +7,13 @@ does not trust an earlier one more than it will deserve.
 
 Features are the words of a document (letters and digits, A-Z lower-cased) and their
 beginnings of 5 to 8 bytes, hashed into 2^18 places; presence counts, not frequency.  The
-`keep_features` places whose presence differs most between the classes (by a signed
-chi-square root) enter the models, so scoring a document is one table look-up a token.
+places whose presence differs between the classes (by a signed chi-square root) by at least
+`SIGNIFICANT` enter the models, and the best `keep_features` in any case, so scoring a
+document is one table look-up a token.  Fits go on until the gradient vanishes.
 
 Training reads at most `max_train` labelled documents, those with the least hash of their
 identifier, through a broadcast of their labels; this is the bound on what the driver sees:
-at most `max_train` rows of at most `keep_features` places.  Scoring covers every document.
+at most `max_train` rows, of each the places that entered, packed.  Scoring covers every document.
 
 Nulls and edges: a null or empty text has no features and gets the models' constant.  A
 null label is left out of its category; labels that repeat an identifier with different
@@ -35,7 +36,8 @@ from stepwell.llm import kernels as K
 from stepwell.llm import tables as S
 
 PLACES, BEGINNINGS = 1 << 18, (5, 6, 7, 8)
-MAX_TRAIN, KEEP_FEATURES, FOLDS = 20_000, 768, 4
+MAX_TRAIN, KEEP_FEATURES, FOLDS = 20_000, 768, 5
+SIGNIFICANT = 3.5  # by chance, about 120 of the places at most
 
 
 def _hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,33 +66,66 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, ridge: float = 0.3, steps: int = 160) -> np.ndarray:
+def _sums(sizes: np.ndarray):
+    """Sums of consecutive groups of the sizes given; an empty group's is 0."""
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        if len(some):
+            out[some] = np.add.reduceat(values, starts)
+        return out
+
+    return sums
+
+
+def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, ridge: float = 1.0, tolerance: float = 1e-6) -> np.ndarray:
     """Logistic regression on presence features and extra columns; weights, extra weights, constant.
 
-    Accelerated gradient descent with the step that the features' curvature allows.
+    Newton steps until the gradient is `tolerance` of the first; each solves for its direction by conjugate
+    gradients, scaled by the curvature of each weight, and is halved until the loss falls.
     """
-    at, owner = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at, sizes = np.concatenate([*rows, np.zeros(0, np.int64)]), np.array([len(r) for r in rows])
     k, m = extra.shape[1], len(y)
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(at, kind="stable")]  # by place
+    by_row, by_place = _sums(sizes), _sums(np.bincount(at, minlength=n))
+    times = lambda x: by_row(x.take(at)) + extra @ x[n : n + k] + x[-1]
+    back = lambda z: np.concatenate([by_place(z.take(owner)), extra.T @ z, [z.sum()]])
+    penalty = np.full(n + k + 1, ridge)
+    penalty[-1] = 1e-9
     w = np.zeros(n + k + 1)
     w[-1] = np.log((y.sum() + 0.5) / (m - y.sum() + 0.5))
-    x = np.ones(n + k + 1)
-    for _ in range(12):  # the largest curvature, by power iteration
-        z = np.bincount(owner, weights=x[at], minlength=m) + extra @ x[n : n + k] + x[-1]
-        x = np.concatenate([np.bincount(at, weights=z[owner], minlength=n), extra.T @ z, [z.sum()]])
-        largest = np.sqrt((x * x).sum())
-        x /= largest
-    rate = 1 / (0.3 * largest + ridge)
-    v, momentum = w.copy(), 1.0
-    for _ in range(steps):
-        z = np.bincount(owner, weights=v[at], minlength=m) + extra @ v[n : n + k] + v[-1]
-        error = _logistic(z) - y
-        grad = np.concatenate([np.bincount(at, weights=error[owner], minlength=n), extra.T @ error, [error.sum()]])
-        grad[:-1] += ridge * v[:-1]
-        after = v - rate * grad
-        nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        v = after + (momentum - 1) / nxt * (after - w)
-        w, momentum = after, nxt
-    return w
+    loss = lambda x, z: np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * x) @ x
+    z = times(w)
+    now, first = loss(w, z), None
+    while True:
+        p = _logistic(z)
+        grad = back(p - y) + penalty * w
+        size = float(np.sqrt(grad @ grad))
+        first = size if first is None else first
+        if size <= tolerance * first:
+            return w
+        curve = p * (1 - p)
+        scale = np.concatenate([by_place(curve.take(owner)), (extra**2).T @ curve, [curve.sum()]]) + penalty
+        step, rest = np.zeros_like(w), -grad
+        along = rest / scale
+        inner = rest @ along
+        aim = min(0.1, np.sqrt(size / first)) * size
+        while np.sqrt(rest @ rest) > aim:
+            bent = back(curve * times(along)) + penalty * along
+            length = inner / (along @ bent)
+            step += length * along
+            rest = rest - length * bent
+            before, inner = inner, rest @ (rest / scale)
+            along = rest / scale + inner / before * along
+        moved, part = times(step), 1.0
+        while part > 1e-6 and loss(w + part * step, z + part * moved) > now + 1e-4 * part * (grad @ step):
+            part /= 2
+        if part <= 1e-6:  # as near as the numbers allow
+            return w
+        w, z = w + part * step, z + part * moved
+        now = loss(w, z)
 
 
 @dataclass
@@ -165,7 +200,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     shape = T.StructType().add("place", "integer")
     for i in range(2 * len(ys)):
         shape = shape.add(f"n{i}", "long")
-    sums = sample.mapInArrow(_tally(1, label_at), shape).groupBy("place").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(2 * len(ys))])
+    sums = S.save(sample.mapInArrow(_tally(1, label_at), shape).groupBy("place").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(2 * len(ys))]), "tallies")
     sizes = sample.agg(*[F.count(F.when(F.col(y) == v, 1)).alias(f"s{2 * i + v}") for i, y in enumerate(ys) for v in (0, 1)]).first()
     chosen: set[int] = set()
     for c in range(len(ys)):
@@ -175,9 +210,11 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...],
         n0, n1, both = F.col(f"n{2 * c}"), F.col(f"n{2 * c + 1}"), s0 + s1
         share = (n0 + n1 + 1) / (both + 2)
         root = F.abs(n1 / s1 - n0 / s0) / F.sqrt(share * (1 - share) * (1 / s0 + 1 / s1))
-        chosen |= {r.place for r in sums.select("place", root.alias("z")).orderBy(F.desc("z"), "place").limit(keep_features // len(ys)).collect()}
+        ranked = sums.select("place", root.alias("z"))
+        chosen |= {r.place for r in ranked.orderBy(F.desc("z"), "place").limit(keep_features // len(ys)).collect()}
+        chosen |= {r.place for r in ranked.filter(F.col("z") >= SIGNIFICANT).collect()}  # PLACES rows at most
     places = np.array(sorted(chosen), np.int64)
-    rows = sample.mapInArrow(_selected(places, label_at), "id long, labels array<int>, places array<int>").collect() if len(places) else []
+    rows = sample.mapInArrow(_selected(places, label_at), "id long, labels array<int>, places binary").collect() if len(places) else []
     return _fit_chain(rows, places, categories, folds)
 
 
@@ -195,9 +232,9 @@ def _selected(places: np.ndarray, label_at: list[int]):
                 some = index[at] >= 0
                 both = np.unique(owners[some] * len(places) + index[at[some]])
                 cut = np.searchsorted(both, np.arange(b - a + 1) * len(places))
-                out += [(both[x:y] % len(places)).astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                out += [(both[x:y] % len(places)).astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             labels = list(zip(*[batch.column(i).to_pylist() for i in label_at], strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.list_(pa.int32())), pa.array(out, pa.list_(pa.int32()))], names=["id", "labels", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.list_(pa.int32())), pa.array(out, pa.binary())], names=["id", "labels", "places"])
 
     return select
 
@@ -205,7 +242,7 @@ def _selected(places: np.ndarray, label_at: list[int]):
 def _fit_chain(rows: list, places: np.ndarray, categories: tuple[str, ...], folds: int) -> Chain:
     chain = Chain(categories, places)
     rows = sorted(rows, key=lambda r: (r.id, r.places))
-    features = [np.array(r.places, np.int64) for r in rows]
+    features = [np.frombuffer(r.places, np.int32).astype(np.int64) for r in rows]
     fold = (K.mix(np.array([r.id for r in rows], np.int64).view(np.uint64)) % np.uint64(folds)).astype(int) if rows else np.zeros(0, int)
     earlier = np.zeros((len(rows), 0))
     for c in range(len(categories)):

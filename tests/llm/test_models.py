@@ -148,6 +148,34 @@ def test_toxicity_held_out(spark):
     assert sum(a and not b for a, b in rest) <= 0.005 * len(rest)
 
 
+def test_toxicity_many_telling_words(spark):
+    """500 words tell, each in few documents: none may be left out because others rank before it."""
+    r = np.random.default_rng(8)
+    telling = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    filler = lambda: [f"w{x}" for x in r.integers(0, 40, 6)]
+    rows = [(i, " ".join([*filler(), *([telling[i // 3 % 500], telling[(i // 3 * 7 + i // 1500) % 500]] if i % 3 == 0 else [])])) for i in range(6000)]
+    docs = spark.createDataFrame(rows + [(10_000 + i, " ".join([*filler(), w, telling[i - 1]])) for i, w in enumerate(telling)], "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(6000)], "doc_id long, quality int, toxic int"), ("quality", "toxic"))
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in telling])])
+    places, _ = toxicity._hashes(np.frombuffer("".join(telling).encode(), np.uint8), offsets)
+    assert np.isin(places, chain.places).mean() >= 0.95
+    got = [x.toxic for x in toxicity.score(docs.filter("doc_id >= 10000"), chain).collect()]
+    assert sum(got) >= 0.97 * len(got)
+
+
+def test_toxicity_fit_converges():
+    r = np.random.default_rng(5)
+    rows = [np.unique(np.concatenate([[0, 1], r.integers(2, 60, r.integers(1, 9))])) for _ in range(400)]  # two are in all: badly conditioned
+    y, extra = r.integers(0, 2, 400), r.random((400, 1))
+    w = toxicity.fit(rows, extra, y, 60, ridge=0.01)
+    x = np.zeros((400, 62))
+    for i, at in enumerate(rows):
+        x[i, at] = 1
+    x[:, 60], x[:, 61] = extra[:, 0], 1
+    grad = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * np.where(np.arange(62) < 61, w, 0)
+    assert np.abs(grad).max() < 1e-3
+
+
 # ---------------------------------------------------------------- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
