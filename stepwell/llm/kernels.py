@@ -147,12 +147,24 @@ def words(body: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, lowe
         none = np.zeros(0, np.int64)
         return Words(none, none, none.astype(U64), np.zeros(len(offsets), np.int64), none.astype(U64) if second else None)
     starts, ends = _bounds(body, offsets, space)
+    first, again = hashes(body, starts, ends, space, lower, second)
+    return Words(starts, ends, first, np.searchsorted(starts, offsets), again)
+
+
+def hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE, lower: bool = False, second: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """64-bit hashes of words given by their byte ranges, none empty, with nothing but space between them, and a second one."""
     tables = [letters(1, space, lower)] + [letters(2, space, lower)] * second
     sums = _sums(body, starts, tables)
     with np.errstate(over="ignore"):
         size = (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15)
         sums = [mix(s + size) for s in sums]
-    return Words(starts, ends, sums[0], np.searchsorted(starts, offsets), sums[1] if second else None)
+    return sums[0], sums[1] if second else None
+
+
+def taken(body: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Byte ranges behind each other."""
+    before = np.cumsum(lens) - lens
+    return body[np.repeat(starts - before, lens) + np.arange(int(lens.sum()))]
 
 
 def grams(hashes: np.ndarray, n: int, seed: int = 11) -> np.ndarray:

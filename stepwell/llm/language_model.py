@@ -1,28 +1,41 @@
 """A hidden Markov language model over words, trained by Baum-Welch on the corpus itself.
 
-Tokens are words (A-Z lower-cased) and one end token a text.  Latent states emit symbols:
-each word with at least one in `FREQUENT` of the training tokens is a symbol (so there are
-at most `FREQUENT` of them, whatever the corpus), the end token is one, and every other
-word is a member of one of `CLASSES` classes by its last three bytes.  Within a class a
-word has the share (c + 1) / Z, with c its count, Z the class's sum of c + 1 over its known
-words, plus one for the unseen; so probabilities of known words and of "unseen" add up to 1.
+Tokens are words (A-Z lower-cased) and one end token a text, the empty word.  Every word of
+the training texts has an emission of its own in every latent state:
+
+    emit[k](w) = (C[k](w) + t[k](w)) / Z[k],
+
+with C[k](w) the expected number of its tokens in state k, and t[k](w), which add up to 1
+over the states, the one count that add-one smoothing gives a word, divided as the tokens
+of its symbol are.  All unseen words together are one event with one such count, divided as
+the average known word's.  Z[k] is the sum of all that, so that emissions add up to 1.
+
+Training goes from coarse to fine.  In all rounds but the last words are tied to symbols:
+each with at least one in `frequent` of the training tokens is a symbol (so there are at
+most `frequent` of them, whatever the corpus), the end token is one, and other words share
+one of `CLASSES` by their last three bytes.  The table of states by symbols is bounded, so
+its counts go to the driver.  Rounds go on until one gains less than `tolerance` of the log
+likelihood.  The last round is untied: expected counts of each word are added up where the
+word is dealt to, and go back to the blocks that have it.
 
 1. Each task turns its documents into blocks of word numbers with a vocabulary of the
-   block's own, and sends the vocabulary, once a word and block, to the partition of each
-   word, where counts of all blocks are added up.
-2. Partitions answer each block with its words' counts; blocks become symbol sequences.
-3. Baum-Welch: each task adds up expected counts over its blocks, tasks' sums are added
-   by symbol range, the driver (which sees only states by symbols, a bounded table)
-   re-estimates.  All training documents take part in each round.
-4. The scaled forward recursion gives each whole text's exact likelihood.
-
-Recursions run over pieces of 64 tokens side by side: a piece's transfer matrix is the
-product of its steps, so texts of any length are scored exactly, without a loop over their
-tokens one by one.  Nothing of the size of the vocabulary is ever broadcast or collected.
+   block's own, written to the shared folder.
+2. Blocks send their vocabularies with counts, packed, one row for each part that has any of
+   its words; parts add them up, and tell frequent words and the sums of classes.
+3. Baum-Welch on symbols: each task adds up expected counts over its blocks, tasks' sums are
+   added by slices, the driver re-estimates.  All training documents take part in each round.
+4. The last round: blocks send their words' expected counts to the parts, and parts answer
+   each block with the totals.  Shares of states travel as numbers of 16 bits.
+5. The scaled forward recursion gives each whole text's exact likelihood.
+
+Recursions run over texts side by side.  Longer ones are cut into pieces of `PIECE` tokens,
+whose transfer matrices (the products of their steps) give the states between, so texts of
+any length are scored exactly.  Nothing of the size of the vocabulary is ever broadcast or
+collected, and a task holds one part of it at a time.
 
 Nulls and edges: a null text is empty and has the end token only.  A null identifier
 counts as training.  Repeated rows are texts of their own.  With no training text all
-counts are 0 and the base score of a text is 0 for each token.
+counts are 0 and both scores of a text are 0 for each token.
 """
 
 from __future__ import annotations
@@ -38,11 +51,13 @@ from pyspark.sql import functions as F
 from stepwell.llm import kernels as K
 from stepwell.llm import tables as S
 
-STATES, ROUNDS = 6, 3
+STATES, TOLERANCE = 6, 2e-3
 FREQUENT, CLASSES, SUFFIX = 1 << 15, 4096, 3
 END = CLASSES
-PIECE, RESCALE = 64, 8
-_SLICES = 16
+PIECE, RESCALE = 1024, 4
+#: Bytes of text in a block, and tokens that recursions hold at a time (a longer text is held alone).
+BLOCK_BYTES, HELD = 16 << 20, 1 << 20
+_SLICES, _FULL = 64, 65535
 
 
 def held_out(ids: np.ndarray, empty: np.ndarray) -> np.ndarray:
@@ -50,158 +65,229 @@ def held_out(ids: np.ndarray, empty: np.ndarray) -> np.ndarray:
     return np.fromiter((not e and zlib.crc32(str(i).encode()) % 7 == 2 for i, e in zip(ids.tolist(), empty.tolist(), strict=True)), bool, len(ids))
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-SUFFIX:]) % CLASSES
+@dataclass
+class Vocabulary:
+    """Words behind each other in one run of bytes; 128 bits of hashes tell them apart.  The end token is the empty word."""
+
+    body: np.ndarray
+    lens: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict) -> Vocabulary:
+        return cls(np.frombuffer(S.expand(row["words"]), np.uint8), _from_planes(row["word_lens"]).astype(np.int64))
+
+    def row(self) -> dict:
+        return {"word_lens": _planes(self.lens), "words": S.squeeze(self.body)}
+
+    def of(self, order: np.ndarray) -> Vocabulary:
+        return Vocabulary(K.taken(self.body, (np.cumsum(self.lens) - self.lens)[order], self.lens[order]), self.lens[order])
+
+    def words(self) -> list[bytes]:
+        data, ends = self.body.tobytes(), np.cumsum(self.lens)
+        return [data[a:b] for a, b in zip((ends - self.lens).tolist(), ends.tolist(), strict=True)]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(self.lens), np.uint64), np.zeros(len(self.lens), np.uint64)
+        some, ends = self.lens > 0, np.cumsum(self.lens)
+        if some.any():
+            out[0][some], out[1][some] = K.hashes(self.body, (ends - self.lens)[some], ends[some], _NO_SPACE)
+        return out
+
+    def classes(self) -> np.ndarray:
+        """By the last bytes; the end token has a class of its own."""
+        ends, last = np.cumsum(self.lens), np.zeros(len(self.lens), np.uint64)
+        for i in range(1, SUFFIX + 1):
+            own = np.flatnonzero(self.lens >= i)
+            last[own] = last[own] << np.uint64(8) | self.body[ends[own] - i]
+        return np.where(self.lens > 0, (K.mix(last) % np.uint64(CLASSES)).astype(np.int64), END)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The words' order by part, and for each part that has any the range of its own."""
+        where = (K.mix(self.hashes()[0]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(where[order])) + 1, [len(order)]]).tolist()
+        return order, [(int(where[order[a]]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+    def sent(self, parts: int, *columns: np.ndarray):
+        """For each part a row with its own words, and their part of the columns."""
+        order, ranges = self.dealt(parts)
+        moved, columns = self.of(order), [c[order] for c in columns]
+        edges = np.concatenate([[0], np.cumsum(moved.lens)])
+        for part, a, b in ranges:
+            yield {"part": part, **Vocabulary(moved.body[edges[a] : edges[b]], moved.lens[a:b]).row()}, [c[a:b] for c in columns]
 
 
-# ---------------------------------------------------------------- blocks and counts
+_NO_SPACE = np.zeros(256, bool)
 
-_WORDS_SQL = "kind int, block long, ids binary, n_words binary, tokens binary, edges binary, part int, lens binary, words binary, counts binary"
-_WORDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("n_words", pa.binary()), ("tokens", pa.binary()), ("edges", pa.binary()), ("part", pa.int32()), ("lens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
+# ---------------------------------------------------------------- blocks
 
-def _vocabulary(w: K.Words, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first place of each distinct word, and each token's word; two hashes of 64 bits tell words apart."""
-    distinct, first, tokens = np.unique(w.hashes, return_index=True, return_inverse=True)
-    if len(distinct) and (w.second[first][tokens] != w.second).any():  # one hash is not enough here
+_BLOCK_SQL = "block long, ids binary, lengths binary, tokens binary, word_lens binary, words binary, counts binary, n_train long"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("word_lens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_train", pa.int64())])
+
+
+def _distinct(w: K.Words, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct word, and each token's word; two hashes of 64 bits tell words apart."""
+    _, first, tokens = np.unique(w.hashes, return_index=True, return_inverse=True)
+    if len(first) and (w.second[first][tokens] != w.second).any():  # one hash is not enough here
         known: dict[bytes, int] = {}
+        data = K.LOWER[body].tobytes()
         tokens = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)])
         first = np.full(len(known), len(tokens))
         np.minimum.at(first, tokens, np.arange(len(tokens)))
-        distinct = w.hashes[first]
-    return distinct, first, tokens
+    return first, tokens
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^31 with equal bytes behind each other: small ones leave long runs of zeros."""
+    return S.squeeze(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(S.expand(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _blocks(parts: int, target: int):
+def _blocks(target: int):
+    """Documents as numbers of words, the commonest first, with an end each; word 0 is the end."""
+
     def blocks(batches):
         numbering = S.serial()
         for ids, empty, lens, body in S.gathered(batches, target):
             offsets = np.concatenate([[0], np.cumsum(lens)])
             w = K.words(body, offsets, lower=True, second=True)
-            data = K.LOWER[body].tobytes()
-            distinct, first, tokens = _vocabulary(w, data)
-            where = (K.mix(distinct) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
+            first, tokens = _distinct(w, body)
+            order = np.argsort(-np.bincount(tokens, minlength=len(first)), kind="stable")
             rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            tokens, first = rank[tokens], first[order]
-            edges = np.searchsorted(where[order], np.arange(parts + 1))
-            train = ~held_out(ids, empty)
-            counts = np.bincount(tokens, weights=np.repeat(train, w.counts), minlength=len(first)).astype(np.int32)
-            block = next(numbering)
-            yield S.record([{"kind": 0, "block": block, "ids": S.squeeze(np.concatenate([ids, empty.astype(np.int64)])), "n_words": S.squeeze(w.counts.astype(np.int32)), "tokens": S.squeeze(tokens.astype(np.int32)), "edges": S.squeeze(edges.astype(np.int32))}], _WORDS)
-            starts, ends = w.starts[first], w.ends[first]
-            found = []
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                a, b = int(edges[p]), int(edges[p + 1])
-                text = b"".join([data[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
-                found.append({"kind": 1, "block": block, "part": p, "lens": S.squeeze((ends[a:b] - starts[a:b]).astype(np.int32)), "words": S.squeeze(text), "counts": S.squeeze(counts[a:b])})
-            for a in range(0, len(found), 256):
-                yield S.record(found[a : a + 256], _WORDS)
+            rank[order] = np.arange(1, len(order) + 1)
+            tokens = np.insert(rank[tokens], w.first[1:], 0)
+            lengths = w.counts + 1
+            train = np.repeat(~held_out(ids, empty), lengths)
+            counts = np.bincount(tokens[train], minlength=len(first) + 1)
+            starts, lens = w.starts[first[order]], (w.ends - w.starts)[first[order]]
+            words = Vocabulary(K.taken(K.LOWER[body], starts, lens), np.append(0, lens))
+            yield S.record([{"block": next(numbering), "ids": S.squeeze(np.concatenate([ids, empty.astype(np.int64)])), "lengths": S.squeeze(lengths.astype(np.int64)), "tokens": _planes(tokens), **words.row(), "counts": _planes(counts), "n_train": int(train.sum())}], _BLOCK)
 
     return blocks
 
 
-_COUNTS_SQL = "kind int, block long, part int, counts binary, classes binary, places binary, ranks binary, key int, sum_counts long, n_words long"
-_COUNTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary()), ("places", pa.binary()), ("ranks", pa.binary()), ("key", pa.int32()), ("sum_counts", pa.int64()), ("n_words", pa.int64())])
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers, their nulls, lengths and tokens of a block's texts."""
+    lengths, both = S.numbers(row["lengths"], np.int64), S.numbers(row["ids"], np.int64)
+    return both[: len(lengths)], both[len(lengths) :].astype(bool), lengths, _from_planes(row["tokens"])
+
+
+# ---------------------------------------------------------------- counts and symbols
+
+_VOCABULARY_SQL = "part int, block long, word_lens binary, words binary, counts binary"
+_VOCABULARY = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("word_lens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+_SUMS_SQL = "slice int, sums binary"
+_SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
+_COUNTED_SQL = _SUMS_SQL + ", word binary, n long"
+_COUNTED = pa.schema([*_SUMS, ("word", pa.binary()), ("n", pa.int64())])
+
+
+def _vocabularies(parts: int):
+    def send(batches):
+        for batch in batches:
+            for row in S.rows(batch):
+                words, counts = Vocabulary.read(row), _from_planes(row["counts"])
+                known = np.flatnonzero(counts)
+                for sent, (own,) in words.of(known).sent(parts, counts[known]):
+                    yield S.record([{"block": row["block"], **sent, "counts": _planes(own)}], _VOCABULARY)
+
+    return send
+
+
+def _slices(flat: np.ndarray) -> list[dict]:
+    return [{"slice": i, "sums": S.squeeze(x)} for i, x in enumerate(np.array_split(flat, _SLICES))]
+
+
+def _count(tokens: int, frequent: int):
+    """Of a task's parts the frequent words, and for each class the tokens and words that are not, in slices."""
+
+    def count(batches):
+        rest, some = np.zeros((CLASSES + 1, 2)), False
+        for _, held in _streamed(batches, "part"):
+            total: dict[bytes, int] = {}
+            for row in held:
+                for word, c in zip(Vocabulary.read(row).words(), _from_planes(row["counts"]).tolist(), strict=True):
+                    total[word] = total.get(word, 0) + c
+            often = sorted(x for x in total if x and total[x] * frequent >= tokens)
+            for a in range(0, len(often), 4096):
+                yield S.record([{"word": x, "n": total[x]} for x in often[a : a + 4096]], _COUNTED)
+            rare = [x for x in total if not x or total[x] * frequent < tokens]
+            classes = Vocabulary(np.frombuffer(b"".join(rare), np.uint8), np.array([len(x) for x in rare], np.int64)).classes()
+            rest[:, 0] += np.bincount(classes, weights=[total[x] for x in rare], minlength=CLASSES + 1)
+            rest[:, 1] += np.bincount(classes, minlength=CLASSES + 1)
+            some = True
+        if some:
+            yield S.record(_slices(rest.ravel()), _COUNTED)
+
+    return count
+
 
+def _streamed(batches, key: str):
+    """Rows of a partition sorted by `key`: each value with an iterator over its rows, read one at a time."""
+    rows = (row for batch in batches for row in S.rows(batch))
+    held = next(rows, None)
 
-def _add_up(batches):
-    """Counts of a part's words over all blocks: answers to the blocks, sums by class, and words that may be frequent."""
-    for part, held in S.grouped(batches):
-        arrays, own = [], []
+    def own(value):
+        nonlocal held
+        while held is not None and held[key] == value:
+            row, held = held, None
+            yield row
+            held = next(rows, None)
+
+    while held is not None:
+        yield held[key], own(held[key])
+
+
+def _add_slices(batches):
+    for i, held in _streamed(batches, "slice"):
+        total = 0
         for r in held:
-            lens = S.numbers(r["lens"], np.int32)
-            places = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-            arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(S.expand(r["words"]))]))
-            own.append(S.numbers(r["counts"], np.int32))
-        coded = pa.concat_arrays(arrays).dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        counts = np.bincount(index, weights=np.concatenate(own), minlength=len(words)).astype(np.int64)
-        classes = np.fromiter(map(word_class, words), np.int64, len(words))
-        known = counts > 0
-        frequent = np.flatnonzero(known & (counts * FREQUENT >= counts.sum()))
-        frequent = np.array(sorted(frequent.tolist(), key=words.__getitem__), np.int64)
-        rank = np.full(len(words), -1)
-        rank[frequent] = np.arange(len(frequent))
-        found, a = [], 0
-        for r, c in zip(held, own, strict=True):
-            here = index[a : a + len(c)]
-            places = np.flatnonzero(rank[here] >= 0)
-            found.append({"kind": 0, "block": r["block"], "part": part, "counts": S.squeeze(counts[here].astype(np.int64)), "classes": S.squeeze(classes[here].astype(np.uint16)), "places": S.squeeze(places.astype(np.int32)), "ranks": S.squeeze(rank[here][places].astype(np.int32))})
-            a += len(c)
-        sums, sizes = np.bincount(classes[known], weights=counts[known], minlength=CLASSES), np.bincount(classes[known], minlength=CLASSES)
-        found += [{"kind": 1, "key": int(k), "sum_counts": int(sums[k]), "n_words": int(sizes[k])} for k in np.flatnonzero(sizes)]
-        found += [{"kind": 2, "part": part, "key": int(classes[i]), "n_words": int(rank[i]), "sum_counts": int(counts[i])} for i in frequent.tolist()]
-        for a in range(0, len(found), 1024):
-            yield S.record(found[a : a + 1024], _COUNTS)
+            total = total + S.numbers(r["sums"], np.float64)
+        yield S.record([{"slice": i, "sums": S.squeeze(total)}], _SUMS)
+
+
+def _added(sums: DataFrame) -> np.ndarray | None:
+    """The vector that tasks sent in slices, added up."""
+    parts = sorted(sums.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_add_slices, _SUMS_SQL).collect())
+    return np.concatenate([S.numbers(bytes(r.sums), np.float64) for r in parts]) if parts else None
 
 
 @dataclass
 class Symbols:
-    """What blocks need to turn counts into symbols: bounded by FREQUENT and CLASSES."""
+    """What blocks need to know of all: bounded by `frequent` and CLASSES."""
 
     tokens: int  # N
     distinct: int  # V
-    ends: int  # c of the end token
-    of_rank: dict[int, np.ndarray]  # by part: the symbol of each rank, or -1
-    rest: np.ndarray  # Z by class
+    hashes: tuple[np.ndarray, np.ndarray, np.ndarray]  # of frequent words, sorted by the first, with their symbols
+    counts: np.ndarray  # c of frequent words and the end, by symbol; 0 for classes
+    types: np.ndarray  # known words by symbol
     base: np.ndarray  # probability of each symbol
 
-
-def _symbols(found: DataFrame, texts: int) -> Symbols:
-    sums = np.zeros((CLASSES, 2), np.int64)
-    for r in found.filter("kind = 1").groupBy("key").agg(F.sum("sum_counts").alias("c"), F.sum("n_words").alias("n")).collect():  # CLASSES rows at most
-        sums[r.key] = r.c, r.n
-    tokens, distinct = int(sums[:, 0].sum()) + texts, int(sums[:, 1].sum()) + (texts > 0)
-    often = found.filter("kind = 2").filter(F.col("sum_counts") * FREQUENT >= tokens).select("part", F.col("n_words").alias("rank"), "key", F.col("sum_counts").alias("c")).orderBy("part", "rank").collect()  # FREQUENT rows at most
-    rest = sums.sum(axis=1) + 1
-    of_rank: dict[int, dict[int, int]] = {}
-    own = []
-    for r in often:
-        of_rank.setdefault(r.part, {})[r.rank] = CLASSES + 1 + len(own)
-        own.append(r.c + 1)
-        rest[r.key] -= r.c + 1
-    base = np.concatenate([rest, [texts + 1], own]).astype(float)
-    tables = {}
-    for part, ranks in of_rank.items():
-        tables[part] = np.full(max(ranks) + 1, -1)
-        tables[part][list(ranks)] = list(ranks.values())
-    return Symbols(tokens, distinct, texts, tables, rest, base / base.sum())
-
-
-_SEQUENCES_SQL = "ids binary, n_words binary, symbols binary, share binary, base binary, known binary"
-_SEQUENCES = pa.schema([("ids", pa.binary()), ("n_words", pa.binary()), ("symbols", pa.binary()), ("share", pa.binary()), ("base", pa.binary()), ("known", pa.binary())])
-
-
-def _sequences(shared):
-    """Blocks as symbols with an end each; base scores, shares within classes, and known tokens by text."""
-
-    def sequences(batches):
-        s: Symbols = shared.value
-        whole = np.log10(s.tokens + s.distinct + 1)
-        for batch in batches:
-            for row in S.rows(batch):
-                tokens, edges, n = S.numbers(row["tokens"], np.int32), S.numbers(row["edges"], np.int32), S.numbers(row["n_words"], np.int32).astype(np.int64)
-                counts, symbol, share = np.zeros(edges[-1], np.int64), np.zeros(edges[-1], np.int64), np.zeros(edges[-1])
-                for answer in row["answers"] or []:
-                    a, b = edges[answer["part"]], edges[answer["part"] + 1]
-                    counts[a:b], symbol[a:b] = S.numbers(answer["counts"], np.int64), S.numbers(answer["classes"], np.uint16)
-                    share[a:b] = np.log10((counts[a:b] + 1) / s.rest[symbol[a:b]])
-                    places, ranks = S.numbers(answer["places"], np.int32), S.numbers(answer["ranks"], np.int32)
-                    table = s.of_rank.get(answer["part"], np.zeros(0, np.int64))
-                    places, ranks = places[ranks < len(table)], ranks[ranks < len(table)]
-                    places, chosen = places[table[ranks] >= 0], table[ranks][table[ranks] >= 0]
-                    symbol[a + places], share[a + places] = chosen, 0.0
-                edge = np.concatenate([[0], np.cumsum(n)])
-                total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[tokens])])[edge])  # noqa: E731, B023
-                base = total(np.log10(counts + 1.0)) + np.log10(s.ends + 1) - (n + 1) * whole
-                known = total((counts > 0).astype(np.int64)) + (s.ends > 0)
-                flat = np.insert(symbol[tokens], edge[1:], END).astype(np.uint16)
-                yield S.record([{"ids": row["ids"], "n_words": row["n_words"], "symbols": S.squeeze(flat), "share": S.squeeze(total(share)), "base": S.squeeze(base), "known": S.squeeze(known.astype(np.int64))}], _SEQUENCES)
-
-    return sequences
+    def of(self, words: Vocabulary) -> np.ndarray:
+        symbol, (first, second) = words.classes(), words.hashes()
+        if len(self.hashes[0]):
+            at = np.minimum(np.searchsorted(self.hashes[0], first), len(self.hashes[0]) - 1)
+            own = (self.hashes[0][at] == first) & (self.hashes[1][at] == second) & (words.lens > 0)
+            symbol[own] = self.hashes[2][at[own]]
+        return symbol
+
+
+def _symbols(counted: DataFrame, tokens: int) -> Symbols:
+    often = sorted((bytes(r.word), r.n) for r in counted.filter("word is not null").select("word", "n").collect())  # `frequent` rows at most
+    flat = _added(counted.filter("word is null").select("slice", "sums"))
+    rest = np.zeros((CLASSES + 1, 2)) if flat is None else flat.reshape(-1, 2)
+    words = Vocabulary(np.frombuffer(b"".join(word for word, _ in often), np.uint8), np.array([len(word) for word, _ in often], np.int64))
+    first, second = words.hashes()
+    order = np.argsort(first)
+    own = np.array([n for _, n in often], float)
+    counts = np.concatenate([np.zeros(CLASSES), rest[END:, 0], own])
+    types = np.concatenate([rest[:, 1], np.ones(len(own))])
+    base = np.concatenate([rest.sum(axis=1), own + 1]) + 1
+    return Symbols(tokens, int(types.sum()), (first[order], second[order], END + 1 + order), counts, types, base / base.sum())
 
 
 # ---------------------------------------------------------------- the model
@@ -218,121 +304,159 @@ def first_model(base: np.ndarray, states: int = STATES) -> Model:
     """Sticky states whose emissions are the base, tilted by fixed pseudo-random factors."""
     tilt = K.stream(97, len(base) * states).reshape(len(base), states) / 2.0**64
     emit = base[:, None] * np.exp(tilt)
-    move = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
+    move = np.full((states, states), 0.01 / max(states - 1, 1)) + np.eye(states) * (0.99 - 0.01 / max(states - 1, 1))
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 class Pieces:
-    """Sequences cut into pieces of at most PIECE tokens, the longest first, to be worked off side by side."""
+    """Sequences cut into pieces of at most PIECE tokens, the longest first, to be worked off side by side.
+
+    `tokens` are in the order of the work: first tokens of all pieces, then second ones, and so on; `edges` are
+    the places where steps begin, so that step t of piece i is at edges[t] + i.
+    """
 
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
-        self.symbols, self.texts = symbols.astype(np.int64), len(lengths)
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray):
+        self.texts = len(lengths)
         n = -(-lengths // PIECE)
         self.text = np.repeat(np.arange(len(lengths)), n)
         self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(np.cumsum(lengths) - lengths, n) + PIECE * self.nth
         size = np.minimum(np.repeat(lengths, n) - PIECE * self.nth, PIECE)
         order = np.argsort(-size, kind="stable")
-        self.text, self.nth, self.begin, self.size = self.text[order], self.nth[order], begin[order], size[order]
-        self.active = np.searchsorted(-self.size, -np.arange(PIECE), side="left")  # pieces longer than t
+        self.text, self.nth, begin, self.size = self.text[order], self.nth[order], begin[order], size[order]
         self.steps = int(self.size[0]) if len(self.size) else 0
-        by = np.lexsort((self.text, self.nth))
-        self.rounds = np.split(by, np.searchsorted(self.nth[by], np.arange(1, int(n.max()) if len(n) else 1)))
-
-    def emitted(self, model: Model, t: int) -> np.ndarray:
-        return model.emit[self.symbols[self.begin[: self.active[t]] + t]]
+        active = np.searchsorted(-self.size, -np.arange(self.steps), side="left")  # pieces longer than t
+        self.edges = np.concatenate([[0], np.cumsum(active)])
+        step = np.repeat(np.arange(self.steps), active)
+        piece = np.arange(self.edges[-1]) - self.edges[step]
+        self.tokens = tokens[begin[piece] + step]
+        self.opens = self.nth == 0
+        self.cut = np.flatnonzero(n[self.text] > 1)  # pieces of texts with several
+        by = self.cut[np.lexsort((self.text[self.cut], self.nth[self.cut]))]
+        self.rounds = np.split(by, np.searchsorted(self.nth[by], np.arange(1, int(n.max()) if len(n) else 1))) if len(by) else []
+
+
+def _transfers(p: Pieces, model: Model, emitted: np.ndarray) -> np.ndarray:
+    """Product (from, to, piece) of the steps of each piece in `p.cut`, up to a factor; a text's first step has no move."""
+    k, n = len(model.start), len(p.cut)
+    product = np.repeat(np.eye(k, dtype=emitted.dtype)[:, :, None], n, axis=2)
+    for t in range(int(p.size[p.cut[0]])):
+        m = int(np.searchsorted(p.cut, p.edges[t + 1] - p.edges[t]))
+        moved = np.matmul(model.move.T, product[:, :, :m])
+        if t == 0:
+            moved[:, :, p.opens[p.cut]] = np.eye(k)[:, :, None]
+        product[:, :, :m] = moved * emitted[:, p.edges[t] + p.cut[:m]]
+        if t % RESCALE == RESCALE - 1:
+            product[:, :, :m] /= product[:, :, :m].max(axis=(0, 1))
+    return product / product.max(axis=(0, 1))
 
 
-def _transfers(p: Pieces, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Product of each piece's steps, and its scale (natural logarithm); a text's first step has no move."""
-    k, n = len(model.start), len(p.size)
-    product, scale = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
-    for t in range(p.steps):
-        m = p.active[t]
-        if t == 0:
-            moved = np.broadcast_to(model.move, (m, k, k)).copy()
-            moved[p.nth == 0] = np.eye(k)
-        else:
-            moved = (product[:m].reshape(-1, k) @ model.move).reshape(m, k, k)
-        product[:m] = moved * p.emitted(model, t)[:, None, :]
-        if t % RESCALE == RESCALE - 1 or t == p.steps - 1:
-            most = product.max(axis=(1, 2))
-            product /= most[:, None, None]
-            scale += np.log(most)
-    most = product.max(axis=(1, 2)) if n else np.zeros(0)
-    return product / most[:, None, None], scale + np.log(most)
-
-
-def _entries(p: Pieces, model: Model, product: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State weights before each piece (adding up to 1), and each text's log likelihood."""
+def _between(p: Pieces, model: Model, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State weights before each piece (adding up to 1), and behind it (of any size); states by pieces."""
     k = len(model.start)
-    before, log = np.zeros((len(p.size), k)), np.zeros(p.texts)
-    state = np.broadcast_to(model.start, (p.texts, k)).copy()
+    before, after = np.repeat(model.start[:, None], len(p.size), axis=1), np.ones((k, len(p.size)), emitted.dtype)
+    if not len(p.cut):
+        return before, after
+    product, place = _transfers(p, model, emitted), np.zeros(len(p.size), np.int64)
+    place[p.cut] = np.arange(len(p.cut))
+    state = np.repeat(model.start[:, None], p.texts, axis=1)
     for own in p.rounds:
         texts = p.text[own]
-        before[own] = state[texts]
-        after = np.einsum("ik,ikl->il", state[texts], product[own])
-        total = after.sum(axis=1)
-        log[texts] += np.log(total) + scale[own]
-        state[texts] = after / total[:, None]
-    return before, log
+        before[:, own] = state[:, texts]
+        moved = np.einsum("in,iln->ln", state[:, texts], product[:, :, place[own]])
+        state[:, texts] = moved / moved.sum(axis=0)
+    state = np.ones((k, p.texts), emitted.dtype)
+    for own in reversed(p.rounds):
+        texts = p.text[own]
+        after[:, own] = state[:, texts]
+        moved = np.einsum("iln,ln->in", product[:, :, place[own]], state[:, texts])
+        state[:, texts] = moved / moved.max(axis=0)
+    return before, after
 
 
-def log_likelihood(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+def _forward(p: Pieces, model: Model, emitted: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward weights (adding up to 1) and scales of all tokens, in the order of the work."""
+    out, scale, last, move = np.empty_like(emitted), np.empty(emitted.shape[1], emitted.dtype), before, model.move.T.copy()
+    for t in range(p.steps):
+        a, b = p.edges[t], p.edges[t + 1]
+        now = out[:, a:b]
+        np.matmul(move, last[:, : b - a], out=now)
+        if t == 0:
+            now[:, p.opens] = before[:, p.opens]
+        now *= emitted[:, a:b]
+        total = scale[a:b]
+        np.add.reduce(now, axis=0, out=total)
+        now /= total
+        last = now
+    return out, scale
+
+
+def _parts_of(lengths: np.ndarray):
+    """Ranges of texts of at most HELD tokens each; a longer text is a range of its own."""
+    return K.pieces(np.concatenate([[0], np.cumsum(lengths)]), HELD)
+
+
+def log_likelihood(tokens: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
     """Natural logarithm of each sequence's probability."""
-    p = Pieces(symbols, lengths)
-    if not len(p.size):
-        return np.zeros(p.texts)
-    return _entries(p, model, *_transfers(p, model))[1]
+    edges, out, table = np.concatenate([[0], np.cumsum(lengths)]), np.zeros(len(lengths)), model.emit.T.copy()
+    for a, b in _parts_of(lengths):
+        p = Pieces(tokens[edges[a] : edges[b]], lengths[a:b])
+        out[a:b] = _log(p, *_scaled(p, model, table)[2:])
+    return out
+
 
+def _scaled(p: Pieces, model: Model, table: np.ndarray) -> tuple:
+    emitted = np.take(table, p.tokens, axis=1)
+    before, after = _between(p, model, emitted)
+    return emitted, (before, after), *_forward(p, model, emitted, before)
 
-def expected(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the sequences, and their log likelihood."""
+
+def _log(p: Pieces, _: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Each text's log likelihood."""
+    piece = np.arange(len(scale)) - np.repeat(p.edges[:-1], np.diff(p.edges))
+    return np.bincount(p.text[piece], weights=np.log(scale), minlength=p.texts)
+
+
+def expected(tokens: np.ndarray, lengths: np.ndarray, model: Model, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of the sequences, and their log likelihood, with numbers of the kind given."""
     k, s = len(model.start), len(model.emit)
-    p = Pieces(symbols, lengths)
-    if not len(p.size):
-        return np.zeros(k), np.zeros((k, k)), np.zeros((s, k)), 0.0
-    product, scale = _transfers(p, model)
-    before, log = _entries(p, model, product, scale)
-    after = np.ones((len(p.size), k))
-    state = np.ones((p.texts, k))
-    for own in reversed(p.rounds):
-        texts = p.text[own]
-        after[own] = state[texts]
-        back = np.einsum("ikl,il->ik", product[own], state[texts])
-        state[texts] = back / back.max(axis=1, keepdims=True)
-    forward = np.zeros((p.steps, len(p.size), k))
-    for t in range(p.steps):
-        m = p.active[t]
-        last = forward[t - 1, :m] if t else before
-        moved = last @ model.move
-        if t == 0:
-            moved[p.nth == 0] = before[p.nth == 0]
-        a = moved * p.emitted(model, t)
-        forward[t, :m] = a / a.sum(axis=1, keepdims=True)
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((s, k))
-    beta = after.copy()
-    where, weights = [], []
+    most = model.emit.max(axis=1, keepdims=True)  # a factor of a token's emissions changes no share
+    model = Model(model.start.astype(kind), model.move.astype(kind), (model.emit / most).astype(kind))
+    factor, table = np.log(most[:, 0]), model.emit.T.copy()
+    starts, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((s, k)), 0.0
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    for a, b in _parts_of(lengths):
+        p = Pieces(tokens[edges[a] : edges[b]], lengths[a:b])
+        emitted, between, weights, scale = _scaled(p, model, table)
+        log += float(_log(p, weights, scale).sum()) + float(factor[p.tokens].sum())
+        _backward(p, model, emitted, between, weights, scale, moves)
+        if p.steps:
+            starts += weights[:, : len(p.size)][:, p.opens].sum(axis=1)
+        for i in range(k):
+            emits[:, i] += np.bincount(p.tokens, weights=weights[i], minlength=s)
+    return starts, moves * model.move, emits, log
+
+
+def _backward(p: Pieces, model: Model, emitted: np.ndarray, between: tuple, weights: np.ndarray, scale: np.ndarray, moves: np.ndarray) -> None:
+    """Turns forward weights into those of the states given the whole text, and adds up moves (without the factors of the model)."""
+    before, beta = between
+    done = 0
     for t in range(p.steps - 1, -1, -1):
-        m = p.active[t]
-        alpha = forward[t, :m]
-        post = alpha * beta[:m]
-        post /= post.sum(axis=1, keepdims=True)
-        where.append(p.symbols[p.begin[:m] + t])
-        weights.append(post)
-        here = p.emitted(model, t) * beta[:m]
-        last = forward[t - 1, :m] if t else before
-        inner = slice(None) if t else p.nth > 0
-        pair = (last[inner] @ model.move) * here[inner]
-        moves += last[inner].T @ (here[inner] / pair.sum(axis=1, keepdims=True))
-        if t == 0:
-            starts += post[p.nth == 0].sum(axis=0)
-        beta[:m] = here @ model.move.T
-        beta[:m] /= beta[:m].max(axis=1, keepdims=True)
-    where, weights = np.concatenate(where), np.concatenate(weights)
-    for i in range(k):
-        emits[:, i] = np.bincount(where, weights=weights[:, i], minlength=s)
-    return starts, moves * model.move, emits, float(log.sum())
+        a, b = p.edges[t], p.edges[t + 1]
+        now, m = weights[:, a:b], b - a
+        if m > done:  # pieces that end here
+            beta[:, done:m] /= np.einsum("in,in->n", now[:, done:], beta[:, done:m])
+            done = m
+        own = beta[:, :m]
+        here = emitted[:, a:b] * own
+        here /= scale[a:b]
+        now *= own
+        if t:
+            c = p.edges[t - 1]
+            moves += weights[:, c : c + m] @ here.T
+        else:
+            moves += before[:, ~p.opens] @ here[:, ~p.opens].T
+        np.matmul(model.move, here, out=own)
 
 
 def estimate(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, base: np.ndarray, weight: float = 100.0) -> Model:
@@ -343,99 +467,194 @@ def estimate(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, base: np.
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _texts_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lengths = S.numbers(row["n_words"], np.int32).astype(np.int64) + 1
-    both = S.numbers(row["ids"], np.int64)
-    n = len(lengths)
-    return both[:n], both[n:].astype(bool), lengths, S.numbers(row["symbols"], np.uint16)
-
-
-_SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
-
-
 def _baum_welch(shared):
     """A task's expected counts, in slices: flat starts, moves, log likelihood and emissions."""
 
     def count(batches):
-        model: Model = shared.value
+        symbols, model = shared.value
         total = None
         for batch in batches:
             for row in S.rows(batch):
-                ids, empty, lengths, symbols = _texts_of(row)
-                train = ~held_out(ids, empty)
-                found = expected(symbols[np.repeat(train, lengths)], lengths[train], model)
-                flat = np.concatenate([np.ravel(x) for x in (*found[:2], [found[3]], found[2])])
+                starts, moves, emits, log = _expected_of(row, symbols.of(Vocabulary.read(row)), model)
+                flat = np.concatenate([starts, moves.ravel(), [log], emits.ravel()])
                 total = flat if total is None else total + flat
         if total is not None:
-            yield S.record([{"slice": i, "sums": S.squeeze(x)} for i, x in enumerate(np.array_split(total, _SLICES))], _SUMS)
+            yield S.record(_slices(total), _SUMS)
 
     return count
 
 
-def _add_slices(batches):
-    for i, held in S.grouped(batches):
-        total = sum(S.numbers(r["sums"], np.float64) for r in held)
-        yield S.record([{"slice": i, "sums": S.squeeze(total)}], _SUMS)
+def _expected_of(row: dict, symbol: np.ndarray, model: Model, by_word: bool = False) -> tuple:
+    """Expected counts of a block's training texts, emissions by symbol or by word."""
+    ids, empty, lengths, tokens = _texts(row)
+    train = ~held_out(ids, empty)
+    own = Model(model.start, model.move, model.emit[symbol])
+    starts, moves, emits, log = expected(tokens[np.repeat(train, lengths)], lengths[train], own, np.float32)
+    if not by_word:
+        emits = np.stack([np.bincount(symbol, weights=e, minlength=len(model.emit)) for e in emits.T], axis=1)
+    return starts, moves, emits, log
 
 
-def train(sequences: DataFrame, base: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all training texts; the log likelihood before each round comes too."""
-    spark = sequences.sparkSession
-    model, history = first_model(base, states), []
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        sums = sequences.select("ids", "n_words", "symbols").mapInArrow(_baum_welch(shared), "slice int, sums binary")
-        sums = sums.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_add_slices, "slice int, sums binary")
-        parts = sorted(sums.collect())  # one table of states by symbols in all
+@dataclass
+class Trained:
+    model: Model  # of the last round's expected counts
+    tied: Model  # emissions of symbols
+    shares: np.ndarray  # of each symbol's expected counts, by state
+    unseen: np.ndarray  # shares of the event that a word is unseen
+    sums: np.ndarray  # expected counts by symbol and state
+    z: np.ndarray  # what emissions of a state are divided by
+    history: list[float]  # log likelihood before each round
+
+
+def train(blocks: DataFrame, symbols: Symbols, states: int = STATES, tolerance: float = TOLERANCE) -> Trained | None:
+    """Baum-Welch on symbols over all training texts, until a round gains less than `tolerance` of the log likelihood.
+
+    Expected counts of the last round are those of `tied`, the model before it; None without training texts.
+    """
+    spark = blocks.sparkSession
+    model, history, k = first_model(symbols.base, states), [], states
+    while True:
+        shared = spark.sparkContext.broadcast((symbols, model))
+        flat = _added(blocks.select("ids", "lengths", "tokens", "word_lens", "words").mapInArrow(_baum_welch(shared), _SUMS_SQL))
         shared.unpersist()
-        if not parts:
-            break
-        flat = np.concatenate([S.numbers(bytes(r.sums), np.float64) for r in parts])
-        k = states
+        if flat is None or not symbols.tokens:
+            return None
         history.append(float(flat[k + k * k]))
-        model = estimate(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k + 1 :].reshape(len(base), k), base)
-    return model, history
+        sums = flat[k + k * k + 1 :].reshape(-1, k)
+        after = estimate(flat[:k], flat[k : k + k * k].reshape(k, k), sums, symbols.base)
+        if len(history) > 1 and history[-1] - history[-2] <= tolerance * abs(history[-2]):
+            break
+        model = after
+    shares = model.emit * sums.sum(axis=0)  # smoothed: a class without tokens divides as the base does
+    shares /= shares.sum(axis=1, keepdims=True)
+    unseen = symbols.types @ shares / max(symbols.types.sum(), 1)
+    z = sums.sum(axis=0) + symbols.types @ shares + unseen
+    return Trained(after, model, shares, unseen, sums, z, history)
 
 
-_SCORE_SQL = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+# ---------------------------------------------------------------- the last round, and scores
 
+_OWN_SQL = _VOCABULARY_SQL + ", shares binary"
+_OWN = pa.schema([*_VOCABULARY, ("shares", pa.binary())])
+_TOTALS_SQL = "part int, block long, counts binary, shares binary"
+_TOTALS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("shares", pa.binary())])
 
-def _score(shared, tokens: int):
-    def score(batches):
+
+def _to_16_bits(sums: np.ndarray) -> np.ndarray:
+    total = sums.sum(axis=1, keepdims=True)
+    return np.rint(sums / np.where(total > 0, total, 1) * _FULL).astype(np.uint16)
+
+
+def _from_16_bits(shares: np.ndarray) -> np.ndarray:
+    total = shares.sum(axis=1, keepdims=True, dtype=np.int64)
+    return shares / np.where(total > 0, total, 1)
+
+
+def _own(shared, parts: int):
+    """Expected counts of a block's own words, those in classes, for the parts that the words are dealt to."""
+
+    def own(batches):
+        symbols, trained = shared.value
         for batch in batches:
             for row in S.rows(batch):
-                ids, empty, lengths, symbols = _texts_of(row)
-                log = log_likelihood(symbols, lengths, shared.value) / np.log(10) + S.numbers(row["share"], np.float64)
-                yield pa.RecordBatch.from_arrays([K.long_array(ids, empty), pa.array(held_out(ids, empty)), pa.array(lengths), pa.array(S.numbers(row["known"], np.int64)), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(S.numbers(row["base"], np.float64)), pa.array(log)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                words, counts = Vocabulary.read(row), _from_planes(row["counts"])
+                symbol = symbols.of(words)
+                shares = _to_16_bits(_expected_of(row, symbol, trained.tied, by_word=True)[2])
+                rare = np.flatnonzero(symbol < END)
+                for sent, (n, own_shares) in words.of(rare).sent(parts, counts[rare], shares[rare]):
+                    yield S.record([{"block": row["block"], **sent, "counts": _planes(n), "shares": S.squeeze(own_shares.T.copy())}], _OWN)
+
+    return own
+
+
+def _totals(states: int):
+    """A part adds up its words' counts and answers each block."""
+
+    def totals(batches):
+        for part, held in _streamed(batches, "part"):
+            index: dict[bytes, int] = {}
+            blocks, counts, sums = [], np.zeros(0, np.int64), np.zeros((0, states))
+            for row in held:
+                at = np.array([index.setdefault(x, len(index)) for x in Vocabulary.read(row).words()])
+                if len(index) > len(counts):  # twice the room each time
+                    more = max(len(index), 2 * len(counts)) - len(counts)
+                    counts, sums = np.append(counts, np.zeros(more, np.int64)), np.concatenate([sums, np.zeros((more, states))])
+                c = _from_planes(row["counts"])
+                counts[at] += c
+                sums[at] += c[:, None] * _from_16_bits(S.numbers(row["shares"], np.uint16).reshape(states, -1).T)
+                blocks.append((row["block"], at.astype(np.int32)))
+            shares = _to_16_bits(sums)
+            for block, at in blocks:
+                yield S.record([{"part": part, "block": block, "counts": S.squeeze(counts[at]), "shares": S.squeeze(shares[at].T.copy())}], _TOTALS)
+
+    return totals
+
+
+_SCORE_SQL = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(shared, parts: int):
+    """Blocks and the answers to them, sorted by block: the scores of the blocks' texts."""
+
+    def score(batches):
+        for _, held in _streamed(batches, "block"):
+            yield one(next(held), held)
+
+    def one(row, answers):
+        symbols, trained = shared.value
+        ids, empty, lengths, tokens = _texts(row)
+        words = Vocabulary.read(row)
+        symbol = symbols.of(words)
+        rare = np.flatnonzero(symbol < END)
+        order, ranges = words.of(rare).dealt(parts)
+        counts = symbols.counts[symbol]
+        n = len(ids)
+        base, log = np.zeros(n), np.zeros(n)
+        if trained is not None:
+            k = len(trained.z)
+            emit = trained.sums[symbol] + trained.shares[symbol]
+            emit[rare] = trained.unseen
+            where = {part: rare[order[a:b]] for part, a, b in ranges}
+            for answer in answers:
+                mine = where[answer["part"]]
+                counts[mine] = S.numbers(answer["counts"], np.int64)
+                known = counts[mine] > 0
+                shares = _from_16_bits(S.numbers(answer["shares"], np.uint16).reshape(k, -1).T)[known]
+                mine = mine[known]
+                emit[mine] = counts[mine][:, None] * shares + trained.shares[symbol[mine]]
+            log = log_likelihood(tokens, lengths, Model(trained.model.start, trained.model.move, emit / trained.z)) / np.log(10)
+        edges = (np.cumsum(lengths) - lengths)[: n]
+        if n:
+            base = np.add.reduceat(np.log10((counts + 1) / (symbols.tokens + symbols.distinct + 1))[tokens], edges)
+            known = np.add.reduceat((counts > 0).astype(np.int64)[tokens], edges)
+        else:
+            known = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([K.long_array(ids, empty), pa.array(held_out(ids, empty)), pa.array(lengths), pa.array(known), pa.array(np.full(n, symbols.tokens, np.int64)), pa.array(base), pa.array(log)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def _by_part(df: DataFrame, tasks: int, key: str = "part", *then: str) -> DataFrame:
+    return df.repartition(tasks, key).sortWithinPartitions(key, *then)
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, tolerance: float = TOLERANCE, frequent: int = FREQUENT) -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = df.sparkSession
     S.tune(spark)
     two = S.two(df, id_col, text_col)
-    size = two.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = S.partitions(spark, size // 2, 16 << 20)
-    blocks = S.Table(two.mapInArrow(_blocks(4 * tasks, 8 << 20), _WORDS_SQL), "words")
-    texts = blocks.df.filter("kind = 0").select("ids").mapInArrow(_training_texts, "n long").agg(F.sum("n")).first()[0] or 0
-    words = blocks.df.filter("kind = 1").select("part", "block", "lens", "words", "counts")
-    counts = S.Table(words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_add_up, _COUNTS_SQL), "counts")
-    symbols = _symbols(counts.df, int(texts))
-    answers = counts.df.filter("kind = 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "classes", "places", "ranks")).alias("answers"))
-    whole = blocks.df.filter("kind = 0").select("block", "ids", "n_words", "tokens", "edges").join(answers, "block", "left")
-    sequences = S.save(whole.drop("block").mapInArrow(_sequences(spark.sparkContext.broadcast(symbols)), _SEQUENCES_SQL), "sequences")
-    blocks.drop()
-    counts.drop()
-    model, _ = train(sequences, symbols.base, states, rounds)
-    return sequences.mapInArrow(_score(spark.sparkContext.broadcast(model), symbols.tokens), _SCORE_SQL)
-
-
-def _training_texts(batches):
-    for batch in batches:
-        n = 0
-        for row in S.rows(batch):
-            both = S.numbers(row["ids"], np.int64)
-            n += int((~held_out(both[: len(both) // 2], both[len(both) // 2 :].astype(bool))).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+    blocks = S.save(two.mapInArrow(_blocks(BLOCK_BYTES), _BLOCK_SQL), "words")
+    found = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.octet_length("words") + F.octet_length("tokens")).alias("size")).first()
+    tokens, tasks = int(found.n or 0), S.partitions(spark, found.size or 0, 8 << 20)
+    parts = 4 * tasks
+    sent = blocks.select("block", "word_lens", "words", "counts").mapInArrow(_vocabularies(parts), _VOCABULARY_SQL)
+    counted = S.save(_by_part(sent, tasks).mapInArrow(_count(tokens, frequent), _COUNTED_SQL), "counts")
+    symbols = _symbols(counted, tokens)
+    trained = train(blocks, symbols, states, tolerance)
+    shared = spark.sparkContext.broadcast((symbols, trained))
+    texts = blocks.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("part"), "ids", "lengths", "tokens", "word_lens", "words")
+    if trained is not None:
+        own = blocks.drop("n_train").mapInArrow(_own(shared, parts), _OWN_SQL)
+        totals = _by_part(own, tasks).mapInArrow(_totals(states), _TOTALS_SQL)
+        texts = texts.unionByName(totals.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return _by_part(texts, tasks, "block", "kind").mapInArrow(_score(shared, parts), _SCORE_SQL)

@@ -2,8 +2,8 @@
 
 Operators that need more than one pass cut lineage by writing what a pass found as a
 Parquet table under ``spark.checkpoint.dir``: a lost executor costs its own tasks only,
-and row numbers given in one pass hold in the next.  Nothing is written to a machine's
-own folders.
+and row numbers given in one pass hold in the next.  A cluster without that setting is an
+error: nothing is written to a machine's own folders there.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is set, as in tests, one of its own."""
+    """The folder named in spark.checkpoint.dir.  Where none is set one is made, but on one machine only, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             where = found.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepwell-"))
             where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return where.rstrip("/")
 
 

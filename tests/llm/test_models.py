@@ -48,10 +48,11 @@ def model(k, s, seed):
 
 
 def brute_forward(x, m):
-    a = m.start * m.emit[x[0]]
+    a, log = m.start * m.emit[x[0]], 0.0
     for t in x[1:]:
-        a = (a @ m.move) * m.emit[t]
-    return math.log(a.sum()) if a.sum() > 0 else None
+        log += math.log(a.sum())
+        a = (a / a.sum() @ m.move) * m.emit[t]
+    return log + math.log(a.sum())
 
 
 def test_likelihood_and_expected_counts():
@@ -82,6 +83,97 @@ def test_likelihood_and_expected_counts():
     assert all(np.allclose(a, b) for a, b in zip((starts, moves, emits), want)) and math.isclose(total, got.sum())
 
 
+def brute_counts(x, m):
+    """Shares of states of each token, and moves, by plain recursions."""
+    n, k = len(x), len(m.start)
+    f, g = np.zeros((n, k)), np.ones((n, k))
+    for t in range(n):
+        f[t] = (m.start if t == 0 else f[t - 1] @ m.move) * m.emit[x[t]]
+        f[t] /= f[t].sum()
+    for t in range(n - 2, -1, -1):
+        g[t] = m.move @ (m.emit[x[t + 1]] * g[t + 1])
+        g[t] /= g[t].sum()
+    post, moves = f * g / (f * g).sum(axis=1, keepdims=True), np.zeros((k, k))
+    for t in range(1, n):
+        pair = f[t - 1][:, None] * m.move * (m.emit[x[t]] * g[t])[None, :]
+        moves += pair / pair.sum()
+    return post, moves
+
+
+def brute_scores(rows, states, tolerance, frequent):
+    """The whole model word by word: tied rounds, the untied last one, and each text's likelihood."""
+    texts = [[x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", lower(t))] + [b""] for _, t in rows]
+    train = [t for (i, _), t in zip(rows, texts) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    n = sum(c.values())
+    own = sorted(w for w in c if w and c[w] * frequent >= n)
+    word_class = lambda w: int(L.Vocabulary(np.frombuffer(w, np.uint8), np.array([len(w)])).classes()[0])
+    symbol = {w: L.END + 1 + own.index(w) if w in own else word_class(w) for w in c}
+    types = np.bincount(list(symbol.values()), minlength=L.END + 1 + len(own))
+    base = types + np.bincount([symbol[w] for t in train for w in t], minlength=len(types)) + 1.0
+    base /= base.sum()
+    m, history = L.first_model(base, states), []
+    while True:
+        starts, moves, sums, words, total = np.zeros(states), np.zeros((states, states)), np.zeros((len(types), states)), {w: np.zeros(states) for w in c}, 0.0
+        for t in train:
+            x = [symbol[w] for w in t]
+            post, moved = brute_counts(x, m)
+            starts += post[0]
+            moves += moved
+            total += brute_forward(x, m)
+            for w, s, p in zip(t, x, post):
+                sums[s] += p
+                words[w] += p
+        history.append(total)
+        after = L.estimate(starts, moves, sums, base)
+        if len(history) > 1 and history[-1] - history[-2] <= tolerance * abs(history[-2]):
+            break
+        m = after
+    shares = m.emit * sums.sum(axis=0)
+    shares /= shares.sum(axis=1, keepdims=True)
+    table = {w: words[w] + shares[symbol[w]] for w in c}
+    table[None] = sum(shares[symbol[w]] for w in c) / len(c)  # all that is unseen
+    z = sum(table.values())
+    emit = {w: e / z for w, e in table.items()}
+    assert np.allclose(sum(emit.values()), 1)
+    keys = list(emit)
+    final = L.Model(after.start, after.move, np.array([emit[w] for w in keys]))
+    place = {w: i for i, w in enumerate(keys)}
+    return [brute_forward([place.get(w, place[None]) for w in t], final) / math.log(10) for t in texts], len(own), history
+
+
+def test_scores_equal_a_plain_model(spark):
+    """Words in classes and words of their own, unseen ones, repeated and empty texts; many blocks and parts."""
+    r = np.random.default_rng(11)
+    topics = [[f"t{k}{x}" for x in range(30)] for k in range(3)]
+    rows = []
+    for i in range(150):
+        topic = topics[i % 3]
+        rows.append((i, " ".join([topic[x] if r.random() < 0.8 else f"Rare{x}{r.integers(0, 40)}" for x in r.integers(0, 30, r.integers(1, 30))])))
+    rows += [(200, None), (200, ""), (None, "t01 t02 t03"), (201, "t01 t02 new words here"), (201, "t01 t02 new words here"), (202, " ".join(topics[1] * 50))]
+    want, own, history = brute_scores(rows, 3, 2e-3, 60)
+    assert own > 10 and len(history) >= 3
+    df = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows)], "n int, doc_id long, text string")
+    got = L.score(df.repartition(5), states=3, frequent=60).collect()
+    key = lambda i, n, s: (i is None, i or 0, n, round(s, 3))
+    got = sorted((key(x.id, x.n_tokens, x.score), x.score) for x in got)
+    want = sorted((key(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1, s), s) for (i, t), s in zip(rows, want))
+    assert [a[0][:3] for a in got] == [a[0][:3] for a in want]
+    assert np.allclose([a[1] for a in got], [a[1] for a in want], rtol=1e-4)
+
+
+def test_counts_do_not_grow_with_partitions(spark, sf_dir):
+    """What parts tell: each frequent word once, and a fixed number of rows a task."""
+    blocks = L.S.save(L.S.two(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").repartition(6).mapInArrow(L._blocks(1 << 20), L._BLOCK_SQL), "words")
+    n = blocks.agg({"n_train": "sum"}).first()[0]
+    found = []
+    for tasks in (4, 32):
+        rows = L._by_part(blocks.select("block", "word_lens", "words", "counts").mapInArrow(L._vocabularies(4 * tasks), L._VOCABULARY_SQL), tasks).mapInArrow(L._count(n, 1000), L._COUNTED_SQL).cache()
+        found.append(sorted((x.word, x.n) for x in rows.filter("word is not null").collect()))
+        assert rows.filter("word is null").count() <= 64 * tasks
+    assert found[0] == found[1] and all(c * 1000 >= n for _, c in found[0])
+
+
 def test_rounds_raise_the_likelihood():
     r = np.random.default_rng(5)
     lengths = np.full(40, 90)
