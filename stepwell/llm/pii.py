@@ -7,18 +7,23 @@ not retried.  They always stay.  The field adds spans beside them: e-mail addres
 addresses, cards and phones written in ways the patterns do not know, and secrets (keys,
 tokens, passwords).
 
-A candidate is a run of at most `MAX_TOKENS` tokens and `MAX_CHARS` characters without a
-line break that holds a digit or an @.  Its score for a type is a sum of weights of
+A candidate is a run of at most `MAX_TOKENS` tokens, `MAX_BLANKS` of them blanks, and
+`MAX_CHARS` characters (a single token may have any number), without a line break or two
+blanks together, that holds a digit or an @ and begins and ends with a letter, a digit or
+one of the marks in `OPEN` and `CLOSE`.  Its score for a type is a sum of weights of
 features of the whole span: its shape, numbers of digits, letters and separators, Luhn and
 IP tests, what stands before and behind.  The chain of segments with the largest sum (a
-token outside all spans counts 0) is found by dynamic programming over ends and lengths,
-which chooses boundaries and types together; base spans are blocked off.  Only the
-stretches around digits and @ are searched: elsewhere no segment is a candidate.
+token outside all spans counts 0) is found by dynamic programming over starts and lengths,
+which chooses boundaries and types together; base spans are blocked off.  Only stretches
+that a candidate can reach from a digit or @ are searched; they never cut a token, and
+memory is a few numbers a token.
 
 Weights maximise the conditional likelihood (segments' sums by forward and backward
-recursions, gradient steps) of texts whose spans are known: stretches of at most
-`MAX_TRAIN` documents of the table, those with the least hash of their identifier, with
-their base spans, and sentences made by a fixed generator, with spans in more forms.
+recursions, gradient steps) of texts whose spans are known: sentences made by a fixed
+generator, and all stretches of at most `max_train` documents of the table, those with the
+least hash of their identifier, with their base spans.  Of these, stretches in which a
+field fitted on the made sentences alone adds a span are left out, as what stands there
+isn't known.
 
 Nulls and edges: a null text is empty and has no spans.  Offsets are code points, ends
 exclusive.  Equal starts are ordered by kind.  Repeated rows are judged each.  An empty
@@ -27,6 +32,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -41,7 +47,8 @@ from stepwell.llm import kernels as K
 from stepwell.llm import tables as S
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_TOKENS, MAX_CHARS, NEAR, MAX_TRAIN = 14, 64, 24, 2000
+MAX_TOKENS, MAX_CHARS, MAX_BLANKS, MAX_TRAIN = 32, 512, 6, 1000
+OPEN, CLOSE = "+($", "=)"
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -50,8 +57,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
-_CORE = re.compile(r"[0-9@]")
+_DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-fA-F]+")
+_CORE, _CORES = re.compile(r"[0-9@]"), re.compile(r"[0-9@]+")
 
 
 def luhn(digits: str) -> bool:
@@ -105,117 +112,150 @@ def written(spans: list[Span]) -> str:
 # ---------------------------------------------------------------- the field
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W_]+|\s|.", re.S)
-_BLANK = re.compile(r"\s")
+_LINE = re.compile(r"[^\n\r]+")
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of a text around digits and @, with `NEAR` characters to either side, cut at white space."""
-    start = end = None
-    for m in _CORE.finditer(text):
-        if end is None:
-            start, end = m.start(), m.end()
-        elif m.start() - end <= 2 * NEAR:
-            end = m.end()
-        else:
-            yield _widened(text, start, end)
-            start, end = m.start(), m.end()
-    if end is not None:
-        yield _widened(text, start, end)
-
-
-def _widened(text: str, start: int, end: int) -> tuple[int, int]:
-    low, high = max(start - NEAR, 0), min(end + NEAR, len(text))
-    found = _BLANK.search(text, low, start)
-    if low and found:
-        low = found.end()
-    while high < len(text) and high > end and not text[high - 1].isspace():
-        high -= 1
-    return low, high
+    """Parts of a text that a candidate can reach from a digit or @: within a line, and without cutting a token."""
+    for line in _LINE.finditer(text):
+        start, end = line.span()
+        low = high = -1
+        for m in _CORES.finditer(text, start, end):
+            a, b = max(m.start() - MAX_CHARS, start), min(m.end() + MAX_CHARS, end)
+            if a > high:
+                if high >= 0:
+                    yield low, high
+                while a > start and text[a - 1].isalnum() and text[a].isalnum():
+                    a -= 1
+                low, high = max(a, high), -1
+            if b > high:
+                while b < end and text[b - 1].isalnum() and text[b].isalnum():
+                    b += 1
+                high = b
+        if high >= 0:
+            yield low, high
+
+
+class _Kinds(dict):
+    """Of a character's number what stands for it in shapes."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
+        self[n] = found = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else c
+        return found
+
+
+_KIND, _RUN, _WORDS = _Kinds(), re.compile(r"([9Aa])\1+"), re.compile("[9Aa]+")
 
 
 def _shape(span: str) -> str:
-    out = []
-    for c in span:
-        k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else "_" if c.isspace() else c
-        if not out or out[-1] != k or k not in "9Aa":
-            out.append(k)
-    return "".join(out)[:24]
+    return _RUN.sub(r"\1", span.translate(_KIND))[:24]
 
 
 _QUAD = re.compile(r"\d{1,3}(\D{1,3})\d{1,3}\1\d{1,3}\1\d{1,3}")
+_GROUPS = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+_MIXED = re.compile(r"[Aa]9|9[Aa]")
+_BEHIND = re.compile(r"([^\W\d_]+)\W{0,4}$")
+
+
+def before(text: str, a: int) -> list[str]:
+    """Features of what stands before place a."""
+    word = _BEHIND.search(text, max(a - 16, 0), a)
+    return ["left=" + (_shape(text[a - 1]) if a else "^")] + (["word=" + word[1].lower()[:10]] if word else [])
 
 
-def features(text: str, a: int, b: int) -> list[str]:
-    """Features of text[a:b] as one segment."""
+def features(text: str, a: int, b: int, known: list[str] | None = None) -> list[str]:
+    """Features of text[a:b] as one segment; `known` are those of what stands before it."""
     span = text[a:b]
-    digits = "".join(c for c in span if "0" <= c <= "9")
-    letters = sum(c.isalpha() for c in span)
-    before = text[max(a - 16, 0) : a]
-    word = re.search(r"([^\W\d_]+)\W{0,4}$", before)
-    hexadecimal = len(span) >= 16 and all(c in "0123456789abcdefABCDEF" for c in span)
-    out = ["1", "shape=" + _shape(span), f"digits={min(len(digits), 20)}", f"letters={min(letters, 8)}", f"long={min(b - a, 48) // 6}", "first=" + _shape(span[:1]), "last=" + _shape(span[-1:])]
-    out.append("left=" + (_shape(text[a - 1]) if a else "^"))
-    out.append("right=" + (_shape(text[b]) if b < len(text) else "$"))
-    if word:
-        out.append("word=" + word[1].lower()[:10])
-    if 13 <= len(digits) <= 19 and not letters:
-        out.append("luhn" if luhn(digits) else "not luhn")
+    kinds = span.translate(_KIND)
+    n, letters, blanks, size = kinds.count("9"), kinds.count("a") + kinds.count("A"), kinds.count(" "), b - a
+    shape, which = _RUN.sub(r"\1", kinds), "".join(sorted(set(kinds)))[:6]
+    out = ["1", "shape=" + (shape if len(shape) <= 16 else "other"), "words=" + _WORDS.sub("w", kinds)[:24], f"which={which},{size.bit_length()}", f"turns={which},{8 * len(shape) // size}", f"digits={min(n, 20)}", f"letters={min(letters, 8)}", f"long={size // 6 if size < 48 else 4 + size.bit_length()}", "first=" + kinds[:1], "last=" + kinds[-1:]]
+    out += before(text, a) if known is None else known
+    out.append("right=" + (text[b].translate(_KIND) if b < len(text) else "$"))
+    if 13 <= n <= 19 and not letters:
+        out.append("luhn" if luhn("".join([c for c in span if "0" <= c <= "9"])) else "not luhn")
     if "@" in span:
         out.append(f"at={span.count('@')},{'.' in span.rpartition('@')[2]}")
-    if _QUAD.fullmatch(span):
+    if 4 <= n <= 12 and size <= 21 and _QUAD.fullmatch(span):
         out.append("quad" if all(_small(p) for p in re.findall(r"\d+", span)) else "not quad")
-    if hexadecimal:
-        out.append("hex")
-    if letters and digits:
-        out.append(f"mixed={len(re.findall(r'[A-Za-z][0-9]|[0-9][A-Za-z]', span)) // 3}")
-    if any(c.isspace() for c in span):
-        out.append(f"blanks={sum(c.isspace() for c in span)}")
+    if ":" in span and size <= 39 and _GROUPS.fullmatch(span):
+        out.append(f"groups={span.count(':')},{'::' in span}")
+    if letters and n:
+        out.append(f"mixed={min(len(_MIXED.findall(kinds)) // 3, 8)}")
+    if size >= 16 and not blanks:
+        if _HEX.fullmatch(span):
+            out.append("hex")
+        if letters and n:
+            out.append(f"dense={8 * n // size},{'A' in kinds},{'a' in kinds}")
+    if blanks:
+        out.append(f"blanks={blanks}")
     return out
 
 
 class Lattice:
-    """Tokens of a stretch and its candidate segments (first token, end token, start, stop)."""
+    """Tokens of a stretch; its candidate segments are (first token, end token, start, stop)."""
 
     def __init__(self, text: str, low: int, high: int, blocked: list[Span] = ()):
         self.text = text
-        self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
-        shut = [any(a < e and s < b for a, b, _ in blocked) for s, e in self.tokens]
-        space = [text[s].isspace() for s, _ in self.tokens]
-        core = [bool(_CORE.search(text, s, e)) for s, e in self.tokens]
-        self.segments: list[tuple[int, int, int, int]] = []
-        for i, (s, _) in enumerate(self.tokens):
-            if shut[i] or space[i]:
-                continue
-            some = False
-            for j in range(i, min(i + MAX_TOKENS, len(self.tokens))):
-                e = self.tokens[j][1]
-                if shut[j] or text[self.tokens[j][0]] in "\n\r" or e - s > MAX_CHARS or (space[j] and space[j - 1]):
-                    break
-                some = some or core[j]
-                if some and not space[j]:
-                    self.segments.append((i, j + 1, s, e))
+        self.tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
+        blocked, x = sorted(blocked), 0
+        n = len(self.tokens)
+        self.shut, self.space, self.core = bytearray(n), bytearray(n), [n] * (n + 1)  # core: the next token with a digit or @
+        reach = 0
+        for i, (s, e) in enumerate(self.tokens):
+            while x < len(blocked) and blocked[x][0] < e:
+                reach = max(reach, blocked[x][1])
+                x += 1
+            self.shut[i] = s < reach
+            self.space[i] = text[s].isspace()
+        for i in range(n - 1, -1, -1):
+            self.core[i] = i if _CORE.search(text, *self.tokens[i]) else self.core[i + 1]
+
+    def candidates(self, i: int) -> Iterator[tuple[int, int, int, int]]:
+        """Segments that begin with token i."""
+        text, tokens, space = self.text, self.tokens, self.space
+        s, first = tokens[i][0], self.core[i]
+        if self.shut[i] or first >= i + MAX_TOKENS or not (text[s].isalnum() or text[s] in OPEN or text[s] == "@"):
+            return
+        blanks = 0
+        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+            a, e = tokens[j]
+            if self.shut[j] or (e - s > MAX_CHARS and j > i):
+                return
+            if space[j]:
+                blanks += 1
+                if blanks > MAX_BLANKS or space[j - 1] or text[a] in "\n\r":
+                    return
+            elif j >= first and (text[e - 1].isalnum() or text[e - 1] in CLOSE):
+                yield i, j + 1, s, e
+
+    @property
+    def segments(self) -> list[tuple[int, int, int, int]]:
+        return [x for i in range(len(self.tokens)) for x in self.candidates(i)]
 
     def best(self, score) -> list[Span]:
         """The chain of segments with the largest sum; `score` gives a segment's best type and its score."""
         n = len(self.tokens)
-        by_end: dict[int, list] = {}
-        for i, j, s, e in self.segments:
-            kind, value = score(self.text, s, e)
-            if value > 0:
-                by_end.setdefault(j, []).append((i, s, e, kind, value))
         total, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            total[j] = total[j - 1]
-            for x in by_end.get(j, ()):
-                if total[x[0]] + x[4] > total[j]:
-                    total[j], back[j] = total[x[0]] + x[4], x
+        for i in range(n):
+            if i and total[i - 1] > total[i]:
+                total[i], back[i] = total[i - 1], None
+            known = None
+            for _, j, s, e in self.candidates(i):
+                known = known or before(self.text, s)
+                kind, value = score(self.text, s, e, known)
+                if value > 0 and total[i] + value > total[j]:
+                    total[j], back[j] = total[i] + value, (i, s, e, kind)
         out, j = [], n
+        if n and total[n - 1] > total[n]:
+            back[n] = None
         while j:
             x = back[j]
             if x is None:
                 j -= 1
             else:
-                out.append((x[1], x[2], x[3]))
+                out.append(x[1:])
                 j = x[0]
         return out[::-1]
 
@@ -225,20 +265,13 @@ class Field:
 
     def __init__(self, weights: dict[str, list[float]] | None = None):
         self.weights = weights or {}
-        self.remembered: dict[tuple, tuple[str, float]] = {}
-
-    def scores(self, found: list[str]) -> list[float]:
-        out = [0.0] * len(KINDS)
-        for f in found:
-            w = self.weights.get(f)
-            if w:
-                out = [x + y for x, y in zip(out, w, strict=True)]
-        return out
 
-    def best(self, text: str, a: int, b: int) -> tuple[str, float]:
-        own = self.scores(features(text, a, b))
-        i = max(range(len(KINDS)), key=own.__getitem__)
-        return KINDS[i], own[i]
+    def best(self, text: str, a: int, b: int, known: list[str] | None = None) -> tuple[str, float]:
+        get = self.weights.get
+        rows = [w for w in map(get, features(text, a, b, known)) if w]
+        own = list(map(sum, zip(*rows, strict=True))) or [0.0] * len(KINDS)
+        value = max(own)
+        return KINDS[own.index(value)], value
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Spans beside the base ones."""
@@ -268,28 +301,23 @@ def fit(examples: list[tuple[str, list[Span]]], rounds: int = 12, rate: float =
             lattice = Lattice(text, low, high)
             gold = {(a, b): KINDS.index(k) for a, b, k in own}
             at = [np.array([names.setdefault(f, len(names)) for f in features(text, s, e)]) for _, _, s, e in lattice.segments]
-            truth = [gold.get((s, e), -1) for _, _, s, e in lattice.segments]
-            if len(at) and sum(t >= 0 for t in truth) == len(own):
-                lattices.append((len(lattice.tokens), [(i, j) for i, j, _, _ in lattice.segments], np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at]), truth))
+            truth = np.array([gold.get((s, e), -1) for _, _, s, e in lattice.segments])
+            if len(at) and (truth >= 0).sum() == len(own):
+                flat, owner = np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at])
+                lattices.append((len(lattice.tokens), [(i, j) for i, j, _, _ in lattice.segments], flat, owner, *np.unique(flat, return_inverse=True), truth))
     k = len(KINDS)
     w, seen = np.zeros((len(names), k)), np.full((len(names), k), 1e-6)
     if "1" in names:
         w[names["1"]] = -2.0
     for _ in range(rounds):
-        for n, segments, at, owner, truth in lattices:
-            score = np.zeros((len(segments), k))
-            np.add.at(score, owner, w[at])
-            p = _marginals(n, segments, score)
-            error = p
-            for x, t in enumerate(truth):
-                if t >= 0:
-                    error[x, t] -= 1
-            grad = np.zeros_like(w[at])
-            grad += error[owner]
-            part = np.unique(at)
-            total = np.zeros((len(part), k))
-            np.add.at(total, np.searchsorted(part, at), grad)
-            total += ridge * w[part]
+        for n, segments, at, owner, part, local, truth in lattices:
+            own = w[at]
+            score = np.stack([np.bincount(owner, weights=own[:, c], minlength=len(segments)) for c in range(k)], axis=1)
+            error = _marginals(n, segments, score)
+            known = np.flatnonzero(truth >= 0)
+            error[known, truth[known]] -= 1
+            wrong = error[owner]
+            total = np.stack([np.bincount(local, weights=wrong[:, c], minlength=len(part)) for c in range(k)], axis=1) + ridge * w[part]
             seen[part] += total**2
             w[part] -= rate * total / np.sqrt(seen[part])
     return Field({f: w[i].round(6).tolist() for f, i in names.items() if np.abs(w[i]).max() > 1e-4})
@@ -299,7 +327,7 @@ def _marginals(n: int, segments: list[tuple[int, int]], score: np.ndarray) -> np
     """Probability of each segment and type, by forward and backward sums."""
     whole = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
     forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-    forward[0], backward[n] = 0.0, 0.0
+    forward[0], backward[n], whole = 0.0, 0.0, whole.tolist()
     ending: dict[int, list[int]] = {}
     starting: dict[int, list[int]] = {}
     for x, (i, j) in enumerate(segments):
@@ -323,14 +351,18 @@ def _sum(values: list[float]) -> float:
 _FILL = "the of and note send to for was order total page item with from at ref code version year room line see".split()
 
 
-def made_examples(n: int = 500) -> list[tuple[str, list[Span]]]:
+def made_examples(n: int = 1000) -> list[tuple[str, list[Span]]]:
     """Sentences with spans in known places, by a fixed pseudo-random generator."""
-    draw = iter(K.stream(2024, n * 64).tolist())
+    draw = iter(K.stream(2024, n * 512).tolist())
     pick = lambda of: of[next(draw) % len(of)]
     number = lambda size: "".join(str(next(draw) % 10) for _ in range(size))
     name = lambda: "".join(pick("abcdeghilmnoprstu") for _ in range(3 + next(draw) % 6))
     digest = lambda size: "".join(pick("0123456789abcdef") for _ in range(size))
 
+    def coded(size: int) -> str:
+        at = next(draw) % size  # one digit at least, anywhere
+        return "".join(number(1) if i == at else pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for i in range(size))
+
     def card() -> str:
         body = "4" + number(14)
         return body + next(str(d) for d in range(10) if luhn(body + str(d)))
@@ -338,10 +370,12 @@ def made_examples(n: int = 500) -> list[tuple[str, list[Span]]]:
     area = lambda: str(2 + next(draw) % 8) + number(2)
     part = lambda: str(next(draw) % 256)
     positive = [
-        ("email", lambda: f"{name()}.{number(2)}@{name()}{number(1)}.example.com"), ("email", lambda: f"{name()} @ {name()}.com"), ("email", lambda: f"{name()}[@]{name()}.org"),
+        ("email", lambda: f"{name()}.{number(2)}@{name()}{number(1)}.example.com"), ("email", lambda: f"{name()}{number(next(draw) % 4)} @ {name()}.com"), ("email", lambda: f"{name()}[@]{name()}.org"),
         ("ip", lambda: ".".join(part() for _ in range(4))), ("ip", lambda: "[.]".join(part() for _ in range(4))),
         ("card", card), ("card", lambda: "-".join(re.findall("....", card()))), ("card", lambda: ".".join(re.findall("....", card()))),
         ("phone", lambda: f"+1 ({area()}) 555-{number(4)}"), ("phone", lambda: f"({area()}) 555-{number(4)}"), ("phone", lambda: f"{area()}-555-{number(4)}"), ("phone", lambda: f"00{1 + next(draw) % 9}{number(1)} {area()} {number(3)} {number(4)}"),
+        ("ip", lambda: ":".join(digest(4) for _ in range(8))), ("ip", lambda: f"{digest(4)}:{digest(3)}::{digest(2)}:{number(1)}"),
+        ("secret", lambda: digest(20 + next(draw) % 110)), ("secret", lambda: coded(20 + next(draw) % 110)), ("secret", lambda: f"{name()}{pick('_-')}{coded(24 + next(draw) % 40)}"), ("secret", lambda: coded(43) + "="), ("secret", lambda: f"{coded(20)}.{coded(60)}.{coded(43)}"),
         ("secret", lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + number(1)), ("secret", lambda: digest(40)), ("secret", lambda: digest(18)),
     ]
     lead = {"secret": ["password=", 'token = "', "key: ", "secret=", "", "api_key="]}
@@ -360,22 +394,28 @@ def made_examples(n: int = 500) -> list[tuple[str, list[Span]]]:
                     text += '"'
             else:
                 text += pick(negative)()
-            text += pick([" ", ". ", ", ", "\n"]) + " ".join(pick(_FILL) for _ in range(9)) + " "
+            text += pick([" ", ". ", ", ", "\n"]) + " ".join(pick(_FILL) for _ in range(4)) + " "
         out.append((text, spans))
     return out
 
 
+@functools.cache
+def _made_field() -> Field:
+    return fit(made_examples())
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Field:
-    """Fit the field on the table's own base spans, in at most `max_train` documents, and on the made sentences."""
+    """Fit the field on the made sentences and on the stretches of at most `max_train` documents of the table."""
     S.tune(df.sparkSession)
     two = S.two(df, id_col, text_col)
     chosen = two.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(max_train).distinct()
-    parts = two.join(F.broadcast(chosen), "id").select("id", "text").mapInArrow(_stretches, "id long, part string")
-    parts = parts.orderBy(F.xxhash64("part"), "part").limit(2 * max_train).collect()
-    found = [(r.part, base_spans(r.part)) for r in sorted(parts, key=lambda r: (r.id, r.part))]
-    # plain numbers teach as well as spans do, but there may be many more of them
-    spans = [x for x in found if x[1] and len(x[0]) < 400]
-    return fit(made_examples() + spans[:400])
+    parts = two.join(F.broadcast(chosen), "id").select("id", "text").mapInArrow(_stretches, "id long, part string").distinct().collect()  # of max_train documents
+    made, first, found = made_examples(), _made_field(), []
+    for part in sorted({r.part for r in parts}):
+        base = base_spans(part)
+        if not first.added(part, base):
+            found.append((part, base))
+    return fit(made + found)
 
 
 def _stretches(batches):

@@ -307,7 +307,71 @@ def test_field_adds_and_keeps(spark):
         assert base == brute_pii(t or "")
         assert set(base) <= {(s.start, s.end, s.kind) for s in got[i].spans}
     assert [s.kind for s in got[1].spans] == ["phone"] and [s.kind for s in got[None].spans] == ["secret"] and not got[5].spans
-    assert pii.find(df.limit(0), pii.Field()).count() == 0
+    assert pii.find(df.limit(0), pii.train(df.limit(0))).count() == 0
+
+
+def plain_candidates(text):
+    """All candidates by their definition, by places, without stretches."""
+    tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+    out = set()
+    for i in range(len(tokens)):
+        for j in range(i, min(i + pii.MAX_TOKENS, len(tokens))):
+            s, e = tokens[i][0], tokens[j][1]
+            span = text[s:e]
+            blanks = sum(text[a].isspace() for a, _ in tokens[i : j + 1])
+            ends = (span[0].isalnum() or span[0] in pii.OPEN + "@") and (span[-1].isalnum() or span[-1] in pii.CLOSE)
+            if ends and re.search("[0-9@]", span) and not re.search(r"[\n\r]|\s\s", span) and blanks <= pii.MAX_BLANKS and (j == i or e - s <= pii.MAX_CHARS):
+                out.add((s, e))
+    return out
+
+
+def test_stretches_lose_no_candidate():
+    r = np.random.default_rng(9)
+    parts = ["a", "word ", "x" * 37, "7", "@", " ", "  ", "\n", "\r\n", "-", ".", "é1", "ab12" * 200, "a.b " * 90, "(", "=", "日本5"]
+    for _ in range(150):
+        text = "".join(parts[i] for i in r.integers(0, len(parts), r.integers(0, 25)))
+        found = [(s, e) for low, high in pii.stretches(text) for _, _, s, e in pii.Lattice(text, low, high).segments]
+        assert len(found) == len(set(found)) and set(found) == plain_candidates(text), text
+    for digit in (0, 18, 37):  # wherever the digit stands
+        secret = "k" * digit + "1" + "k" * (37 - digit)
+        text = f'token = "{secret}" end'
+        assert (text.index(secret), text.index(secret) + 38) in plain_candidates(text)
+
+
+def test_field_finds_other_forms(spark):
+    """Recall by kind, on forms and contexts that the made sentences do not have, and few plain numbers taken."""
+    field = pii._made_field()
+    r = np.random.default_rng(4)
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    any_of = lambda letters, n: "".join(letters[i] for i in r.integers(0, len(letters), n))
+    hexadecimal, wide = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    forms = {
+        "secret": [lambda: "ghp_" + any_of(wide, 35) + digits(1), lambda: any_of(hexadecimal, 96), lambda: any_of(wide, 100) + digits(1), lambda: "sk" + digits(1) + any_of(wide, 45), lambda: any_of(hexadecimal, 32)],
+        "phone": [lambda: f"(3{digits(2)}) 555-{digits(4)}", lambda: f"7{digits(2)}-555-{digits(4)}"],
+        "ip": [lambda: "[.]".join(str(x) for x in r.integers(0, 256, 4)), lambda: ":".join(any_of(hexadecimal, 4) for _ in range(8))],
+        "email": [lambda: f"{any_of('abcdeg', 6)}{digits(2)} @ {any_of('ilmno', 5)}.com", lambda: f"{any_of('abcdeg', 6)}[@]{any_of('ilmno', 5)}.net"],
+    }
+    for kind, makes in forms.items():
+        hit = 0
+        for n in range(60):
+            value = makes[n % len(makes)]()
+            text = f"they wrote it down as {value} last week"
+            hit += (22, 22 + len(value), kind) in [*pii.base_spans(text), *field.added(text, pii.base_spans(text))]
+        assert hit >= 48, (kind, hit)
+    plain = [f"there were {digits(n)} of them in {1900 + i} at {i}:30" for i in range(30) for n in (1, 3, 5)]
+    assert sum(bool(field.added(t, [])) for t in plain) <= 4
+
+
+def test_dense_digits_take_linear_memory():
+    import tracemalloc
+
+    field, peaks = pii.Field({"1": [-1.0] * 5}), []
+    for n in (2000, 4000):
+        tracemalloc.start()
+        field.added("12.5," * n, [])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2.5 * peaks[0] and peaks[1] < 16 << 20
 
 
 def test_best_chain_is_the_best_of_all():
