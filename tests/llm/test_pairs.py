@@ -183,3 +183,63 @@ def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(frame(spark, []), none).count() == 0
     assert [x.contaminated for x in decontamination.contamination(frame(spark, [(1, "a b c")]), none).collect()] == [False]
+
+
+def seeded(doc, item, begin):
+    """Whether a mask fits the alignment."""
+    same = [0 <= begin + j < len(doc) and doc[begin + j] == w for j, w in enumerate(item)]
+    masks = decontamination.MASKS + (decontamination.SHORT_MASKS if len(item) < decontamination.MIN_MATCH else ())
+    return any(all(same[j + x] for x, c in enumerate(m) if c == "1") and 0 <= begin + j and begin + j + len(m) <= len(doc) for m in masks for j in range(len(item) - len(m) + 1))
+
+
+def best_run(doc, item, begin):
+    best = total = matches = low = 0.0
+    for j, w in enumerate(item):
+        if 0 <= begin + j < len(doc):
+            total, matches = total + (1 if doc[begin + j] == w else -decontamination.MISS), matches + (doc[begin + j] == w)
+            if total < 0:  # of runs with one score the longest counts
+                total = matches = 0.0
+            if total > low:
+                best, low = matches, total
+    return best
+
+
+def test_repetitive_texts(monkeypatch):
+    """Few different words: runs of equal seeds, periods, and slices of a few pairs."""
+    monkeypatch.setattr(decontamination, "SLICE", 50)
+    r = random.Random(6)
+    word = lambda n, k: [f"w{r.randrange(k)}" for _ in range(n)]
+    items = [word(n, k) for n in (5, 8, 12, 13, 30, 60) for k in (1, 2, 3, 9)] + [["a"] * 40, ["a", "b"] * 20]
+    docs = [word(r.randrange(0, 200), k) for k in (1, 2, 3, 9) for _ in range(4)] + [["a"] * 300, ["b", "a"] * 100, []]
+    bench = decontamination.Benchmark([(i, " ".join(t)) for i, t in enumerate(items)])
+    data = [" ".join(d).encode() for d in docs]
+    got = decontamination.judge(bench, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for x, doc in enumerate(docs):
+        want = {}
+        for i, item in enumerate(items):
+            n = max([best_run(doc, item, b) for b in range(-len(item) + 1, len(doc)) if seeded(doc, item, b)], default=0)
+            if n >= decontamination.needed(len(item)):
+                want[i] = n
+        assert got.get(x, {}) == want
+
+
+def test_equal_words_take_no_product():
+    import tracemalloc
+
+    bench = decontamination.Benchmark([(1, "spam " * 2000)])
+    body = np.frombuffer(("spam " * 20_000).encode(), np.uint8)
+    tracemalloc.start()
+    assert decontamination.judge(bench, body, np.array([0, len(body)])) == {0: {0: 2000}}
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_one_block_at_a_time(spark):
+    """However many blocks there are, a plan holds one search, and the result is that of one block."""
+    bench = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(30)], "item_id long, text string")
+    rows = frame(spark, [(i, f"so it began {' '.join(f'q{i}x{j}' for j in range(20))} and ended") for i in range(0, 60, 3)])
+    one, many = decontamination.contamination(rows, bench), decontamination.contamination(rows, bench, block_tokens=600)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert "MapInArrow" not in many._jdf.queryExecution().executedPlan().toString()
+    left = decontamination.clean(rows, bench, block_tokens=600)
+    assert left.columns == rows.columns and sorted(x[0] for x in left.collect()) == [i for i in range(0, 60, 3) if i >= 30]
