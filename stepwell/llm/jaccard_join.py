@@ -12,13 +12,17 @@ are brute-forced.  A pair of similarity s survives d splits of one run with prob
 s^(d+1); the number of runs is the least that finds a pair at the threshold, after the
 most splits, with the target recall.  What still is large after that (members alike in
 nearly all) is brute-forced in tiles of blocks against blocks, so no bucket is capped and
-no task gets a whole large one.
+no task gets a whole large one.  Sizes of buckets are a table before paths are joined to
+them, so a bucket that holds much of the corpus is one that Spark splits in the join.
 
 A bucket gives, of the pairs that the vectors make candidates, only a spanning forest, not
 the pairs.  Components of these forests are then verified: inside each, exact similarities
 of all pairs are computed on whole sets (in tiles, for large components), which gives each
 text's number of links and, from a spanning forest of the true links, its class.
 
+A class stands for its texts by the row with the least identifier, which is found again by
+identifier and a hash of its text: rows that share an identifier, or have none, do not meet.
+
 Nulls and edges: a null or empty text has an empty set, links to nothing and is a class of
 its own.  A null identifier is allowed and ranks last as a class's name.  Repeated rows
 are copies.  An empty table gives an empty result.
@@ -40,13 +44,21 @@ from stepwell.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, LEAF, SPLITS = 64, 512, 3
+_ROW = 4 * COORDINATES + 24
 _FACTORS = K.stream(41, COORDINATES) | np.uint64(1)
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, splits: int = SPLITS) -> int:
-    """Runs after which a pair at the threshold is found with the target recall, even in the deepest buckets."""
-    once = threshold ** (splits + 1)
-    return 1 if once >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - once))
+    """Runs after which a pair at the threshold is found with the target recall, even in the deepest buckets.
+
+    All runs draw from the pair's one vector, so the miss is taken over the number of coordinates that agree.
+    """
+    agree = np.arange(COORDINATES + 1)
+    share = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in agree.tolist()])
+    once, runs = 1 - (agree / COORDINATES) ** (splits + 1), 1
+    while share @ once**runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def candidate_share(threshold: float) -> float:
@@ -94,7 +106,7 @@ def _vectors(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = T.StructType().add("id", "long").add("s1", "long").add("s2", "long").add("n", "long").add("vector", "binary")
+_SKETCH = T.StructType().add("id", "long").add("h", "long").add("s1", "long").add("s2", "long").add("n", "long").add("vector", "binary")
 
 
 def _sketch(n: int):
@@ -107,7 +119,7 @@ def _sketch(n: int):
                 s1, s2 = _names(flat, edges)
                 vectors = _vectors(flat, edges)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), b - a, [None, pa.py_buffer(vectors.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([K.long_array(ids[a:b], empty[a:b]), pa.array(s1), pa.array(s2), pa.array(np.diff(edges)), packed], names=["id", "s1", "s2", "n", "vector"])
+                yield pa.RecordBatch.from_arrays([K.long_array(ids[a:b], empty[a:b]), batch.column(2).slice(a, b - a), pa.array(s1), pa.array(s2), pa.array(np.diff(edges)), packed], names=["id", "h", "s1", "s2", "n", "vector"])
 
     return sketch
 
@@ -220,7 +232,7 @@ def _edges(edges: list[np.ndarray]) -> pa.RecordBatch:
 
 def _met(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     """Paths that two members or more share, with the bucket's size and the members' vectors."""
-    sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = S.save(paths.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     return paths.join(sizes, "key").join(vectors, "sid").select("key", "sid", "vector", "size")
 
 
@@ -237,20 +249,20 @@ def _tiled(rows: DataFrame, key: str, sid: str, leaf: int, others: list[str]) ->
 def candidates(classes: DataFrame, threshold: float, recall: float, leaf: int, splits: int) -> DataFrame:
     """Edges (a, b) of spanning forests of the candidate pairs, by chosen paths; classes has sid and vector."""
     spark = classes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share, runs = candidate_share(threshold), runs_needed(threshold, recall, splits)
-    brute = lambda rows: rows.select("key", "sid", "vector").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_bruteforce(share), "a long, b long")
+    brute = lambda rows, n: rows.select("key", "sid", "vector").repartition(S.partitions(spark, n * _ROW), "key").sortWithinPartitions("key").mapInArrow(_bruteforce(share), "a long, b long")
     paths = classes.select("sid", "vector").mapInArrow(_roots(runs), "key long, sid long")
     out = None
     for depth in range(splits + 1):
         level = S.save(_met(paths, classes.select("sid", "vector")), "paths")
-        edges = brute(level.filter(F.col("size") <= leaf))
+        n = level.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(0)).alias("tiled")).first()
+        edges = brute(level.filter(F.col("size") <= leaf), n.n)
         out = edges if out is None else out.union(edges)
         large = level.filter(F.col("size") > leaf)
         if large.isEmpty():
             return out
         if depth == splits:
-            return out.union(brute(_tiled(large, "key", "sid", leaf, ["vector"])))
+            return out.union(brute(_tiled(large, "key", "sid", leaf, ["vector"]), n.tiled))
         paths = large.select("key", "sid", "vector").mapInArrow(_deeper, "key long, sid long")
     return out
 
@@ -310,7 +322,7 @@ def _verify(threshold: float):
 
     def verify(batches):
         for _, held in S.grouped(batches):
-            held = sorted({r["sid"]: r for r in held}.values(), key=lambda r: r["sid"])  # ids that repeat bring a text again
+            held = sorted(held, key=lambda r: r["sid"])
             found = [np.frombuffer(r["hashes"], np.uint64) for r in held]
             sids = np.array([r["sid"] for r in held])
             sizes = np.array([len(x) for x in found], np.float32)
@@ -336,26 +348,28 @@ def join_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows (id, s1, s2) of all texts, and of each set (s1, s2): rep_id, copies, n_links, class_id, stays."""
     spark = df.sparkSession
     S.tune(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    two = S.two(df, id_col, text_col)
+    two = S.two(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     sketched = S.save(two.mapInArrow(_sketch(n), _SKETCH), "sketches")
-    grouped = sketched.groupBy("s1", "s2").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "h")).alias("rep")
+    grouped = sketched.groupBy("s1", "s2").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    grouped = grouped.select("s1", "s2", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "copies", "n", "vector")
     classes = S.save(grouped.withColumn("sid", F.monotonically_increasing_id()), "classes")
     edges = candidates(classes.filter("n > 0"), threshold, recall, leaf, splits)
     near = components(edges)
     near = near.union(near.select("root", "root").distinct())
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     near = near.join(sizes, "root").select(F.col("node").alias("sid"), "root", "size")
-    wanted = near.join(classes.select("sid", "rep_id", "s1", "s2"), "sid")
-    texts = wanted.join(two, wanted.rep_id.eqNullSafe(two.id)).select("sid", "root", "size", "s1", "s2", "text")
-    members = S.save(texts.mapInArrow(_whole(n), _MEMBER), "members")
+    wanted = near.join(classes.select("sid", "rep_id", "rep_h", "s1", "s2"), "sid")
+    texts = wanted.join(two, (wanted.rep_h == two.h) & wanted.rep_id.eqNullSafe(two.id)).select("sid", "root", "size", "s1", "s2", "text")
+    members = S.save(texts.mapInArrow(_whole(n), _MEMBER).dropDuplicates(["sid"]), "members")  # repeated rows bring a text again
     small = members.filter(F.col("size") <= leaf).select(F.xxhash64("root").alias("key"), "sid", F.lit(True).alias("is_low"), F.lit(True).alias("one"), "hashes")
     large = _tiled(members.filter(F.col("size") > leaf), "root", "sid", leaf, ["hashes"])
-    dealt = small.union(large).repartition(tasks, "key").sortWithinPartitions("key")
+    size = members.agg(F.sum(F.octet_length("hashes") * F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(1))).first()[0] or 0
+    dealt = small.union(large).repartition(S.partitions(spark, size), "key").sortWithinPartitions("key")
     links = S.save(dealt.mapInArrow(_verify(threshold), "sid long, links long, other long"), "links")
     counts = links.groupBy("sid").agg(F.sum("links").alias("n_links"))
     classed = components(links.filter("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")))
-    out = classes.drop("vector", "n").join(counts, "sid", "left").join(classed.withColumnRenamed("node", "sid"), "sid", "left")
+    out = classes.drop("vector", "n", "rep_h").join(counts, "sid", "left").join(classed.withColumnRenamed("node", "sid"), "sid", "left")
     out = out.select("sid", "s1", "s2", "rep_id", "copies", F.coalesce("root", "sid").alias("class_sid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = S.save(out, "sets")
     least = F.min(F.struct(F.col("rep_id").isNull().alias("x"), "rep_id", "sid"))
@@ -394,6 +408,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s1), pa.array(s2), pa.array(np.diff(edges))], names=[*batch.schema.names, "s1", "s2", "n"])
 
     rows = inner.mapInArrow(name, schema)
-    some = rows.filter("n > 0").join(stay, ["s1", "s2"]).filter(F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("rep_id"))).dropDuplicates(["s1", "s2"])
+    own = stay.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "rep_id")
+    match = (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("rep_id"))
+    some = rows.filter("n > 0").join(own, match).dropDuplicates(["s1", "s2"])
     out = some.select(inner.columns).union(rows.filter("n = 0").select(inner.columns))
     return out.toDF(*names)

@@ -117,8 +117,27 @@ def test_shared_sizes():
 
 
 def test_runs_reach_recall():
+    """All runs see one vector: the miss is that of pairs whose numbers of equal coordinates vary."""
     runs = jaccard_join.runs_needed(0.8, 0.999, 3)
-    assert 1 - (1 - 0.8**4) ** runs >= 0.999 > 1 - (1 - 0.8**4) ** (runs - 1)
+    equal = np.random.default_rng(1).binomial(jaccard_join.COORDINATES, 0.8, 1_000_000) / jaccard_join.COORDINATES
+    missed = lambda n: ((1 - equal**4) ** n).mean()
+    assert missed(runs) <= 0.00102 and missed(runs - 1) > 0.00098
+
+
+def test_rows_without_identifiers_do_not_meet(spark):
+    """Near copies without an identifier, and ones that share one, send each text once."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None if i % 2 else 7, " ".join([*base[:50], f"x{i}", *base[50:]])) for i in range(80)]
+    rows += [(None, rows[1][1])] * 20
+    sent, real = [], jaccard_join.S.save
+    try:
+        jaccard_join.S.save = lambda df, label: sent.append((label, out := real(df, label))) or out
+        got = jaccard_join.links(frame(spark, rows)).collect()
+    finally:
+        jaccard_join.S.save = real
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    members = next(df for label, df in sent if label == "members")
+    assert members.count() == members.select("sid").distinct().count() == 80
 
 
 # ---------------------------------------------------------------- decontamination
