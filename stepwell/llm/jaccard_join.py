@@ -4,7 +4,7 @@ A text is the set of its runs of five consecutive words (A-Z lower-cased); a tex
 to four words is the set of one run, all of it.  Two texts link if the Jaccard similarity
 of their sets is at least the threshold.
 
-Texts with the same set are one class of copies.  Each class has a vector of 64 min-hash
+Texts with the same set are one class of copies.  Each class has a vector of 128 min-hash
 tokens, sampled shared tokens of its set.  A run starts a path with one coordinate's
 token; texts with the same path so far form a bucket; a bucket of more than `leaf` members
 is split by another coordinate, which the path itself chooses, and so on.  Small buckets
@@ -43,7 +43,7 @@ from stepwell.llm import tables as S
 from stepwell.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-COORDINATES, LEAF, SPLITS = 64, 512, 3
+COORDINATES, LEAF, SPLITS = 128, 512, 3
 _ROW = 4 * COORDINATES + 24
 _FACTORS = K.stream(41, COORDINATES) | np.uint64(1)
 
