@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stepwell.functions import rabin
 from stepwell.functions.columns import slot, slot_middle
+from stepwell.session import write_bytes
 
 JUMP = 2 << 20
 #: The archive's magic number, codec numbers and record types.
@@ -102,11 +103,31 @@ def numbers(found: DataFrame) -> DataFrame:
 
 
 def stats(found: DataFrame) -> DataFrame:
-    """Sums and ratios over deduplicated chunks."""
-    d, n = deduplicate(found), F.count(F.lit(1))
-    kept = F.sum(F.when(~F.col("is_dup"), F.col("size")).otherwise(0))
-    gone = F.sum(F.col("is_dup").cast("long"))
-    return d.agg(F.sum("size").cast("long").alias("total_input"), kept.cast("long").alias("total_dedup"), n.alias("n_chunks"), gone.alias("n_duplicates"), F.round(F.sum("size") / kept, 6).alias("factor"), F.round(gone * 100.0 / n, 6).alias("duplicate_percent"))
+    """Sums and ratios over chunks.  Equal digests have one size, so counts by digest tell all, without a join."""
+    per = found.groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    a = per.agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("total_input"), F.sum("size").cast("long").alias("total_dedup"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    return a.select("*", F.round(F.col("total_input") / F.col("total_dedup"), 6).alias("factor"), F.round(F.col("n_duplicates") * 100.0 / F.col("n_chunks"), 6).alias("duplicate_percent"))
+
+
+#: Units of sizes, each 1024 times the one before.
+UNITS = ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB")
+HEADER_BYTES, RECORD_BYTES = 5, 9
+
+
+def report(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """What an archive saved: totals, factors, overhead, and the largest unit in which no total is below 1."""
+    out = rows.agg(F.sum(F.when(F.col("type") == PAYLOAD, F.col("size")).otherwise(0)).cast("long").alias("total_compressed"), (F.sum(F.col("size") + RECORD_BYTES) + HEADER_BYTES).cast("long").alias("total_output"))
+    a = stats(found).crossJoin(out)  # one row each
+    totals = [F.col(c) for c in ("total_input", "total_dedup", "total_compressed", "total_output")]
+    least = F.least(*totals)
+    unit = F.lit(UNITS[0])
+    for k in range(1, len(UNITS)):
+        unit = F.when(least >= 1024**k, UNITS[k]).otherwise(unit)
+    ratio = lambda x, y: F.round(F.col(x) / F.col(y), 6)
+    return a.select(
+        *totals, "n_chunks", "n_duplicates", ratio("total_input", "total_output").alias("effective_factor"), ratio("total_input", "total_dedup").alias("dedup_factor"), ratio("total_dedup", "total_compressed").alias("compression_factor"),
+        F.round(100.0 * (F.col("total_output") - F.col("total_compressed")) / F.col("total_output"), 6).alias("overhead_percent"), unit.alias("unit"),
+    )
 
 
 def size_histogram(found: DataFrame) -> DataFrame:
@@ -188,16 +209,25 @@ def header(codec: str) -> bytes:
 
 
 def write_archive(rows: DataFrame, path: str, codec: str = "none") -> int:
-    """One archive file in stream order, written as rows arrive: memory is one partition.  Returns its records."""
+    """One archive file in stream order, in any store, written as rows arrive: memory is one partition.  Returns its records."""
     n = 0
-    with open(path, "wb") as f:
-        f.write(header(codec))
+
+    def parts():
+        nonlocal n
+        yield header(codec)
         for r in rows.orderBy("src", "l1", "l2").toLocalIterator():
-            f.write(struct.pack("<BQ", r.type, r.size) + bytes(r.body))
             n += 1
+            yield struct.pack("<BQ", r.type, r.size) + bytes(r.body)
+
+    write_bytes(rows.sparkSession, path, parts())
     return n
 
 
+def write_stream(decoded: DataFrame, path: str) -> int:
+    """The decoded chunks in order as one file, in any store.  Returns its size."""
+    return write_bytes(decoded.sparkSession, path, (bytes(r.data) for r in decoded.orderBy("src", "l1", "l2").toLocalIterator()))
+
+
 def read_records(data: bytes) -> tuple[str, list[tuple[int, bytes]]]:
     """Codec and records of an archive's bytes; damaged archives are errors."""
     if len(data) < 5 or struct.unpack_from("<i", data)[0] != MAGIC:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepwell.functions import columns as C
 from stepwell.functions import rabin
 from stepwell.operators import analysis, bench, dedup, dense, stencil
 from stepwell.plans import topology
+from stepwell.session import written
 from stepwell.streaming import steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,24 +66,54 @@ def fragment_boundaries(spark, sf_dir):
 
 
 _TABLE = "[" + ",".join(map(str, rabin.TABLE)) + "]"
+_JUMP, _MASK = 300, 31
 
 
-@query(f"""
-    WITH RECURSIVE t AS (
-        SELECT item_id AS src, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n, {_TABLE}::BIGINT[] AS tab FROM benchmark),
-    r(src, i, s, h, cut) AS (
-        SELECT src, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM t
+def _scan(states: str, first: str, seen: str, after: str) -> str:
+    """Recursive SQL of a byte-by-byte scan of `benchmark`: fingerprint h since place s; `hit` is a cut behind byte i."""
+    return f"""t AS (SELECT item_id AS src, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n, {_TABLE}::BIGINT[] AS tab FROM benchmark),
+    {states} AS (
+        SELECT src, {first} FROM t
         UNION ALL
-        SELECT src, i + 1, CASE WHEN hit THEN i + 1 ELSE s END, CASE WHEN hit THEN 0 ELSE h2 END, hit
-        FROM (SELECT *, i + 1 - s >= 32 AND h2 & 31 = 0 AS hit
-              FROM (SELECT r.src, r.i, r.s, xor(((g << 8) & 4294967295) | ('0x' || substr(x, r.i * 2 + 1, 2))::BIGINT, tab[(g >> 24) + 1]) AS h2
+        SELECT src, {after}
+        FROM (SELECT *, {seen} AND i + 1 - s >= 32 AND h2 & {_MASK} = 0 AS hit
+              FROM (SELECT *, xor(((g << 8) & 4294967295) | ('0x' || substr(x, i * 2 + 1, 2))::BIGINT, tab[(g >> 24) + 1]) AS h2
                     FROM (SELECT r0.*, CASE WHEN i - s >= 32 THEN xor(h, ('0x' || substr(x, (i - 32) * 2 + 1, 2))::BIGINT) ELSE h END AS g, x, tab, n
-                          FROM r r0 JOIN t USING (src) WHERE i < n) r))),
-    ends AS (SELECT src, i AS e FROM r WHERE cut UNION SELECT src, n FROM t WHERE n > 0)
-    SELECT src, 0::BIGINT AS l1, row_number() OVER w - 1 AS l2, coalesce(lag(e) OVER w, 0)::BIGINT AS "offset", (e - coalesce(lag(e) OVER w, 0))::BIGINT AS size, lead(e) OVER w IS NULL AS is_last
-    FROM ends WINDOW w AS (PARTITION BY src ORDER BY e)""")
+                          FROM r r0 JOIN t USING (src) WHERE i < n) r)))"""
+
+
+_REFINED = _scan("r(src, i, s, h, cut)", "0::BIGINT, 0::BIGINT, 0::BIGINT, false", "true", "i + 1, CASE WHEN hit THEN i + 1 ELSE s END, CASE WHEN hit THEN 0 ELSE h2 END, hit") + """,
+    ends AS (SELECT src, i AS e FROM r WHERE cut UNION SELECT src, n FROM t WHERE n > 0),
+    c AS (SELECT src, 0::BIGINT AS l1, row_number() OVER w - 1 AS l2, coalesce(lag(e) OVER w, 0)::BIGINT AS "offset", (e - coalesce(lag(e) OVER w, 0))::BIGINT AS size, lead(e) OVER w IS NULL AS is_last
+          FROM ends WINDOW w AS (PARTITION BY src ORDER BY e))"""
+#: A coarse chunk ends at the first cut of a scan that begins `_JUMP` bytes behind its start.
+_COARSE = _scan("r(src, i, s, h, cut)", f"{_JUMP}::BIGINT, {_JUMP}::BIGINT, 0::BIGINT, false", "true", f"CASE WHEN hit THEN i + 1 + {_JUMP} ELSE i + 1 END, CASE WHEN hit THEN i + 1 + {_JUMP} ELSE s END, CASE WHEN hit THEN 0 ELSE h2 END, hit") + f""",
+    ends AS (SELECT src, i - {_JUMP} AS e FROM r JOIN t USING (src) WHERE cut AND i - {_JUMP} < n UNION SELECT src, n FROM t WHERE n > 0)"""
+
+
+@query(f"WITH RECURSIVE {_REFINED} SELECT * FROM c")
 def chunk_boundaries_benchmark(spark, sf_dir):
-    return dedup.chunks(table(spark, sf_dir, "benchmark"), "item_id", mask=31).drop("sha1")
+    return dedup.chunks(table(spark, sf_dir, "benchmark"), "item_id", mask=_MASK).drop("sha1")
+
+
+def _benchmark_chunks(spark, sf_dir):
+    return dedup.chunks(table(spark, sf_dir, "benchmark"), "item_id", mask=_MASK)
+
+
+@query(f"WITH RECURSIVE {_REFINED}, d AS (SELECT c.*, substr(x, c.offset * 2 + 1, size * 2) AS body FROM c JOIN t USING (src)) SELECT count(*) FILTER (l2 = 0) AS fragments, count(*) AS refined, count(DISTINCT body) AS uniques, count(*) - count(DISTINCT body) AS duplicates FROM d")
+def chunk_numbers_benchmark(spark, sf_dir):
+    return dedup.numbers(_benchmark_chunks(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_REFINED}, d AS (SELECT c.*, substr(x, c.offset * 2 + 1, size * 2) AS body FROM c JOIN t USING (src)), p AS (SELECT body, count(*) AS n, any_value(size) AS size FROM d GROUP BY 1)
+    SELECT sum(n * size)::BIGINT AS total_input, sum(size)::BIGINT AS total_dedup, sum(n)::BIGINT AS n_chunks, sum(n - 1)::BIGINT AS n_duplicates, round(sum(n * size) / sum(size)::DOUBLE, 6) AS factor, round(sum(n - 1) * 100.0 / sum(n)::DOUBLE, 6) AS duplicate_percent FROM p""")
+def chunk_stats_benchmark(spark, sf_dir):
+    return dedup.stats(_benchmark_chunks(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_COARSE} SELECT src, row_number() OVER w - 1 AS l1, coalesce(lag(e) OVER w, 0)::BIGINT AS "offset", (e - coalesce(lag(e) OVER w, 0))::BIGINT AS size FROM ends WINDOW w AS (PARTITION BY src ORDER BY e)""")
+def fragment_boundaries_benchmark(spark, sf_dir):
+    return dedup.fragments(table(spark, sf_dir, "benchmark"), "item_id", jump=_JUMP, mask=_MASK)
 
 
 @query("SELECT doc_id AS src, sha1(coalesce(text, '')) AS sha1, strlen(coalesce(text, ''))::BIGINT AS size FROM documents")
@@ -134,9 +166,18 @@ def archive_records(spark, sf_dir):
     return dedup.archive(_with_data(spark, sf_dir)).select("src", "type", "size")
 
 
+@query(f"""WITH {_WHOLE}, a AS (SELECT sum(size)::BIGINT AS total_input, sum(size) FILTER (src = orig)::BIGINT AS total_dedup, (5 + sum(9 + CASE WHEN src = orig THEN size ELSE 20 END))::BIGINT AS total_output,
+        count(*) AS n_chunks, count(*) FILTER (src <> orig) AS n_duplicates FROM f)
+    SELECT total_input, total_dedup, total_dedup AS total_compressed, total_output, n_chunks, n_duplicates, round(total_input / total_output::DOUBLE, 6) AS effective_factor, round(total_input / total_dedup::DOUBLE, 6) AS dedup_factor,
+        1.0::DOUBLE AS compression_factor, round(100.0 * (total_output - total_dedup)::DOUBLE / total_output, 6) AS overhead_percent,
+        (['Bytes', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB'])[1 + floor(log2(least(total_input, total_dedup, total_output)) / 10)::INT] AS unit FROM a""")
+def archive_report(spark, sf_dir):
+    return dedup.report(documents(spark, sf_dir), dedup.archive(_with_data(spark, sf_dir)))
+
+
 def _round_trip(codec):
     def run(spark, sf_dir):
-        rows = dedup.archive(_with_data(spark, sf_dir), codec)
+        rows = written(dedup.archive(_with_data(spark, sf_dir), codec), "archive")
         return dedup.decode(rows, codec).select("src", F.sha1("data").alias("sha1"))
 
     run.__name__ = f"decode_roundtrip_{codec}"
@@ -147,11 +188,12 @@ for _codec in dedup.CODECS:
     _round_trip(_codec)
 
 
-@query()
+@query("SELECT doc_id AS src, sha1(text) AS sha1 FROM documents WHERE strlen(coalesce(text, '')) > 0")
 def decode_chunked(spark, sf_dir):
-    """Chunked, archived and decoded again: digests of the whole texts."""
-    found = dedup.chunks(table(spark, sf_dir, "documents"), jump=4096, with_data=True)
-    return dedup.joined(dedup.decode(dedup.archive(found, "gzip"), "gzip")).select("src", F.sha1("data").alias("sha1"))
+    """Chunked, archived and decoded again: digests of the whole texts.  Chunks and archive are made once each."""
+    found = written(dedup.chunks(table(spark, sf_dir, "documents"), jump=4096, with_data=True), "chunks")
+    rows = written(dedup.archive(found, "gzip"), "archive")
+    return dedup.joined(dedup.decode(rows, "gzip")).select("src", F.sha1("data").alias("sha1"))
 
 
 @query("""SELECT conv_id AS src, 0::BIGINT AS l1, turn AS l2, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS out_offset,
@@ -227,6 +269,56 @@ def observer_quart(spark, sf_dir):
     return analysis.lower_half_median(_samples(spark, sf_dir), "user_id", "ns")
 
 
+@query(f"WITH {_RANKED} SELECT user_id, (sum(v)::BIGINT // count(*))::BIGINT AS median FROM r WHERE rn = n // 2 + 1 OR (n % 2 = 0 AND rn = n // 2) GROUP BY 1")
+def observer_median(spark, sf_dir):
+    return analysis.median(_samples(spark, sf_dir), "user_id", "ns")
+
+
+@query("SELECT min(m) AS cost FROM (SELECT (sum(floor(value * 100)::BIGINT)::BIGINT // count(*))::BIGINT AS m FROM events GROUP BY user_id) WHERE m <> 0")
+def observer_least_average(spark, sf_dir):
+    return analysis.least_average(_samples(spark, sf_dir), "user_id", "ns")
+
+
+@query("""SELECT event_type AS thread, count(*) AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS total, round(avg(floor(value * 100)::BIGINT), 6) AS avg FROM events GROUP BY 1""")
+def timer_pair_totals(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("thread"), F.col("event_id").alias("begin"), (F.col("event_id") + F.floor(F.col("value") * 100)).alias("end"))
+    return analysis.timer_pairs(t, "begin", "end", ["thread"])
+
+
+_STATIC = "s AS (SELECT min(event_type) AS static FROM events), t AS (SELECT event_type AS sync, CASE WHEN event_type = static THEN (user_id % 8)::INT END AS step, avg(value) AS m FROM events, s GROUP BY 1, 2)"
+
+
+def _stepped_runs(spark, sf_dir):
+    """Run times with a step; the first event type stands for the static synchronizer."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("sync"), (F.col("user_id") % 8).cast("int").alias("step"), F.col("value").alias("time")), e.agg(F.min("event_type")).first()[0]
+
+
+@query(f"WITH {_STATIC} SELECT sync AS best, step, round(m, 6) AS avg FROM t ORDER BY m, sync, step LIMIT 1")
+def best_synchronizer(spark, sf_dir):
+    runs, static = _stepped_runs(spark, sf_dir)
+    return analysis.best_synchronizer(runs, "sync", "step", static)
+
+
+@query(f"""WITH {_STATIC}, k AS (SELECT max(event_type) AS naive FROM events), v AS (
+        SELECT (SELECT m FROM t, k WHERE sync = naive) AS naive, (SELECT m FROM t, s WHERE sync = static AND step = 1) AS one, (SELECT m FROM t, s WHERE sync = static ORDER BY m, step LIMIT 1) AS best, (SELECT step FROM t, s WHERE sync = static ORDER BY m, step LIMIT 1) AS step)
+    SELECT 0::INT AS n, round(naive / one, 6) AS ratio, 'Naive / Promise+1' AS what FROM v UNION ALL SELECT 1, round(one / naive, 6), 'Promise+1 / Naive' FROM v
+    UNION ALL SELECT 2, round(naive / best, 6), 'Naive / Promise+' || step || ' (best)' FROM v UNION ALL SELECT 3, round(best / naive, 6), 'Promise+' || step || ' (best) / Naive' FROM v""")
+def ratio_lines(spark, sf_dir):
+    runs, static = _stepped_runs(spark, sf_dir)
+    naive = table(spark, sf_dir, "events").agg(F.max("event_type")).first()[0]
+    lines = analysis.ratio_lines(runs, "sync", "step", naive, static)
+    return lines.select("n", F.substring_index("line", ": ", -1).cast("double").alias("ratio"), F.substring_index("line", ": ", 1).alias("what"))
+
+
+@query(f"""WITH {_STATIC}, b AS (SELECT * FROM t ORDER BY m, sync, step LIMIT 1), n AS (SELECT CASE WHEN step IS NULL THEN sync ELSE sync || '.' || step END AS run, m FROM t)
+    SELECT 0::INT AS n, '8 * 25 * 30 * 27 with 4 threads (using active wait: False) and 10 iterations' AS line UNION ALL SELECT 1, 'Running with the following synchronization patterns: '
+    UNION ALL SELECT 2, printf('%s%s: %.6f', chr(9), run, m) FROM n UNION ALL SELECT 3, printf('Best synchronization: %s, with average time: %.6f', CASE WHEN step IS NULL THEN sync ELSE sync || '.' || step END, round(m, 6)) FROM b""")
+def run_summary_dims(spark, sf_dir):
+    runs, static = _stepped_runs(spark, sf_dir)
+    return analysis.summary_lines(runs, "sync", "step", static, {"w": 8, "x": 25, "y": 30, "z": 27, "threads": 4, "active": False, "iterations": 10})
+
+
 @query("""SELECT user_id, count(v) AS n, round(avg(v), 6) AS avg FROM (SELECT user_id, floor(value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 5 GROUP BY 1""")
 def observer_quota(spark, sf_dir):
     return analysis.first_samples(_samples(spark, sf_dir), "user_id", ["event_id"], "ns", 5)
@@ -269,7 +361,13 @@ def publication_frontier(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", steps.static_frontier(F.col("event_id"), 7).alias("published"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS event, epoch(ts)::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    r(key, rn, event, step, first, n) AS (
+        SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, 64::BIGINT, NULL::DOUBLE, 0::BIGINT FROM e
+        UNION ALL
+        SELECT key, rn, event, CASE WHEN hit THEN least(greatest(CASE WHEN n > 3 THEN step * 2 ELSE floor(step / 1.5)::BIGINT END, 1), 2147483648) ELSE step END, CASE WHEN hit THEN NULL ELSE first END, CASE WHEN hit THEN 0 ELSE n END
+        FROM (SELECT *, t - first >= 86400 AS hit FROM (SELECT e.key, e.rn, e.event, e.t, r.step, coalesce(r.first, e.t) AS first, r.n + 1 AS n FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)))
+    SELECT key, event, step FROM r WHERE rn > 0""")
 def timer_step_controller(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp").cast("double"))
     return steps.step_controller(e, "user_id", "t", "event_id", 64, 86400.0, 3)
@@ -288,16 +386,55 @@ def gradient_class(spark, sf_dir):
     return steps.gradient(e, "user_id", "event_id", "event", 6, "WORK")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'IMMEDIATE' WHEN floor(value) = 0 THEN 'EMPTY' WHEN floor(value) < 20 THEN 'LOW' ELSE 'CONTENT' END AS event FROM events),
+    c AS (SELECT *, event IN ('LOW', 'CONTENT') AS w, event = 'EMPTY' AS e FROM e), i AS (SELECT *, count(*) FILTER (e) OVER o AS we, count(*) FILTER (w) OVER o AS ew FROM c WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, event, count(*) FILTER (w) OVER (PARTITION BY user_id, we ORDER BY event_id) AS n_with_work, count(*) FILTER (e) OVER (PARTITION BY user_id, ew ORDER BY event_id) AS n_no_work FROM i""")
+def push_event_runs(spark, sf_dir):
+    return steps.counted(_pushes(spark, sf_dir), "user_id", "event_id", "event")
+
+
+def _pushes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", steps.push_event(F.floor("value"), 20, F.col("event_id") % 11 == 0).alias("event"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN NULL WHEN floor(value) > 10 THEN 'CONTENT' WHEN event_id % 2 = 0 THEN 'EMPTY' ELSE 'EMPTY_NW' END AS event FROM events""")
+def pop_event_class(spark, sf_dir):
+    shared = F.greatest(F.floor("value") - 10, F.lit(0))
+    return table(spark, sf_dir, "events").select("event_id", steps.pop_event(F.col("event_id") % 3, shared, F.col("event_id") % 2 == 0).alias("event"))
+
+
+@query()
+def gradient_steps(spark, sf_dir):
+    return steps.gradient_steps(_pushes(spark, sf_dir), "user_id", "event_id", "event", 10, 3, 2, 1.5, 0.5)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) FILTER (event_id % 9 <> 0) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, CASE WHEN event_id % 9 = 0 THEN 'set_step' WHEN event_id % 31 = 1 THEN 'set_immediate' ELSE 'set' END AS op, event_id % 7 + 1 AS s FROM events),
+    r(key, rn, event, step, current, published) AS (
+        SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, 5::BIGINT, -1::BIGINT, -1::BIGINT FROM e
+        UNION ALL
+        SELECT e.key, e.rn, e.event, CASE WHEN op = 'set_step' THEN s ELSE step END, CASE WHEN op = 'set_step' THEN current ELSE i END,
+            CASE WHEN op = 'set_step' THEN CASE WHEN s < step AND current - published >= s THEN current ELSE published END WHEN op = 'set_immediate' OR i - published >= step THEN i ELSE published END
+        FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+    SELECT key, event, published FROM r WHERE rn > 0""")
+def dynamic_frontier(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    own = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    step = F.col("event_id") % 9 == 0
+    place = F.sum((~step).cast("long")).over(own) - 1
+    ops = e.select("user_id", "event_id", F.when(step, "set_step").when(F.col("event_id") % 31 == 1, "set_immediate").otherwise("set").alias("op"), F.when(step, F.col("event_id") % 7 + 1).otherwise(place).alias("arg"))
+    return steps.frontiers(ops, "user_id", "event_id", 5, 1 << 40)
+
+
 @query("""WITH RECURSIVE r(i, step) AS (SELECT 0::BIGINT, 10::BIGINT UNION ALL
     SELECT i + 1, CASE WHEN step >= 12500 THEN 12500 WHEN (i + 1) % 10 = 0 THEN floor(step * 1.75)::BIGINT ELSE step END FROM r WHERE i < 199) SELECT * FROM r""")
 def step_ramp(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(steps.step_ramp(10, 200, 1.75, 10))), "i long, step long")
+    return steps.step_ramp(spark.range(200).withColumnRenamed("id", "i"), "i", 10, 1.75, 10)
 
 
-@query("""WITH RECURSIVE r(i, n, phase) AS (SELECT 0::BIGINT, 15::BIGINT, 'HEATING' UNION ALL
-    SELECT i + 1, CASE WHEN phase = 'RUNNING' THEN n ELSE least(floor(n * 1.5)::BIGINT, 500) END, CASE WHEN phase = 'RUNNING' OR floor(n * 1.5) > 500 THEN 'RUNNING' ELSE 'HEATING' END FROM r WHERE i < 19) SELECT * FROM r""")
+@query("""WITH RECURSIVE r(i, x, phase) AS (SELECT 0::BIGINT, 15::DOUBLE, 'HEATING' UNION ALL
+    SELECT i + 1, CASE WHEN phase = 'RUNNING' OR x * 1.5::DOUBLE > 500 THEN 500 ELSE x * 1.5::DOUBLE END, CASE WHEN phase = 'RUNNING' OR x * 1.5::DOUBLE > 500 THEN 'RUNNING' ELSE 'HEATING' END FROM r WHERE i < 19) SELECT i, floor(x)::BIGINT AS n, phase FROM r""")
 def phase_trajectory(spark, sf_dir):
-    return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(steps.phase_trajectory(10, 500, 1.5, 20))], "i long, n long, phase string")
+    return steps.phase_trajectory(spark.range(20).withColumnRenamed("id", "i"), "i", 10, 500, 1.5)
 
 
 # ---------------------------------------------------------------- dense kernels
@@ -307,11 +444,16 @@ _N = 64
 
 @query(f"SELECT i, j, least(i, j) + 1.0::DOUBLE AS v FROM range({_N}) a(i), range({_N}) b(j)")
 def matrix_min_gram(spark, sf_dir):
-    return dense.gram(dense.ones_lower(spark, _N))
+    return dense.gram(dense.ones_lower(spark, _N), _N, 24)
 
 
 def _vectors(spark):
-    return spark.range(3 * _N).selectExpr(f"id div {_N} AS rhs", f"id % {_N} AS i", "cast(id * 7 % 11 + 1 as double) AS v")
+    return dense.right_sides(spark, _N, 3)
+
+
+@query(f"SELECT id // {_N} AS rhs, id % {_N} AS i, (id * 7 % 11 + 1)::DOUBLE AS v FROM range({3 * _N}) t(id)")
+def matrix_vectors(spark, sf_dir):
+    return _vectors(spark)
 
 
 _VECTORS = f"x AS (SELECT id // {_N} AS rhs, id % {_N} AS i, (id * 7 % 11 + 1)::DOUBLE AS v FROM range({3 * _N}) t(id))"
@@ -324,21 +466,37 @@ def matvec(spark, sf_dir):
 
 @query(f"SELECT i, j, 1.0::DOUBLE AS v FROM range({_N}) a(i), range({_N}) b(j)")
 def lu_packed(spark, sf_dir):
-    _checkpoints(spark)
     return dense.lu(dense.least_matrix(spark, _N), _N, 24)
 
 
 @query(f"WITH {_VECTORS} SELECT rhs, i, v FROM x")
 def lu_solve(spark, sf_dir):
-    return dense.solve_least(dense.matvec(dense.least_matrix(spark, _N), _vectors(spark)))
+    """The factors' two sweeps, on the right sides that the vectors give."""
+    a = dense.least_matrix(spark, _N)
+    return dense.solve(dense.lu(a, _N, 24), dense.matvec(a, _vectors(spark)), _N, 3, 24)
+
+
+@query(f"WITH {_VECTORS} SELECT rhs, i, v FROM x")
+def lu_combine(spark, sf_dir):
+    """Factored and solved in one call."""
+    a = dense.least_matrix(spark, _N)
+    return dense.factor_solve(a, dense.matvec(a, _vectors(spark)), _N, 3, 24)
+
 
+_HEAT = """WITH RECURSIVE g AS (SELECT (id // 108)::INT AS w, (id // 18 % 6)::INT AS x, (id // 3 % 6)::INT AS y, (id % 3)::INT AS z, (id % 10 + 1)::INT AS v FROM range(432) t(id)),
+    r(d, w, x, y, z, v) AS (
+        SELECT 0, w, x, y, z, v FROM g WHERE w + x + y = 0
+        UNION ALL
+        SELECT d, w, x, y, z, v + CASE WHEN w * x * y = 0 THEN 0 ELSE 15 * floor(sqrt(sum(p) FILTER (side = 1)) + ln(sum(p) FILTER (side = 2)) + sin(sum(p) FILTER (side = 3)))::INT END
+        FROM (SELECT r.d + 1 AS d, g.w, g.x, g.y, g.z, g.v, r.v AS p, CASE WHEN g.w = r.w + 1 THEN 1 WHEN g.x = r.x + 1 THEN 2 ELSE 3 END AS side
+              FROM r JOIN g ON g.w + g.x + g.y = r.d + 1 AND g.z = r.z AND g.w - r.w BETWEEN 0 AND 1 AND g.x - r.x BETWEEN 0 AND 1 AND g.y - r.y BETWEEN 0 AND 1)
+        GROUP BY d, w, x, y, z, v)
+    SELECT w, x, y, z, v FROM r"""
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder of our own only where the session names none, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepwell-"))
+@query(_HEAT)
+def heat_stencil_small(spark, sf_dir):
+    return stencil.heat(stencil.cube(spark, (4, 6, 6, 3)), (4, 6, 6, 3))
 
 
 @query()

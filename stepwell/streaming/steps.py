@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,9 +125,24 @@ def stream_first_occurrences(chunks: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["sha1"])
 
 
-def push_event(shared: Column, work_amount: int) -> Column:
-    """What a flush finds in the shared buffer."""
-    return F.when(shared == 0, "EMPTY").when(shared < work_amount, "LOW").otherwise("CONTENT")
+def push_event(shared: Column, work_amount: int, immediate: Column | None = None) -> Column:
+    """What a flush finds in the shared buffer; one that doesn't wait for a full buffer is IMMEDIATE."""
+    found = F.when(shared == 0, "EMPTY").when(shared < work_amount, "LOW").otherwise("CONTENT")
+    return found if immediate is None else F.when(immediate, "IMMEDIATE").otherwise(found)
+
+
+def pop_event(own: Column, shared: Column, waits: Column) -> Column:
+    """What a consumer whose own buffer has run out finds in the shared one; null while its own has elements."""
+    return F.when(own > 0, F.lit(None).cast("string")).when(shared > 0, "CONTENT").when(waits, "EMPTY").otherwise("EMPTY_NW")
+
+
+def counted(events: DataFrame, key: str, order: str, event: str) -> DataFrame:
+    """Events with n_with_work and n_no_work: how many of a kind came in a row; each kind resets the other, IMMEDIATE neither."""
+    work, none = F.col(event).isin("LOW", "CONTENT").cast("long"), (F.col(event) == "EMPTY").cast("long")
+    all_before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    e = events.select(key, order, event, work.alias("w"), none.alias("e")).withColumn("we", F.sum("e").over(all_before)).withColumn("ew", F.sum("w").over(all_before))
+    run = lambda island: W.partitionBy(key, island).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return e.select(key, order, event, F.sum("w").over(run("we")).alias("n_with_work"), F.sum("e").over(run("ew")).alias("n_no_work"))
 
 
 def gradient(events: DataFrame, key: str, order: str, event: str, look_back: int, reason: str, limit: int = 3) -> DataFrame:
@@ -150,28 +166,105 @@ def next_n(n: int, reason: str, gradient: str, increase: float, decrease: float)
     else:
         up, down = damp[gradient]
         n = int(n * (1 + increase * up - up)) if grow else int(n * (1 - decrease * down + down))
-    return 2 if grow and n == 1 else max(n, 1)
+    n = n if grow else max(n, 1)
+    return 2 if n == 1 and (grow or reason == "WORK") else n
+
+
+def classified(events: list[str], reason: str, limit: int = 3) -> str:
+    """The gradient of the last events, one by one (the column form is `gradient`)."""
+    diff = sum({"EMPTY": 1.0, "CONTENT": -1.0, "LOW": 0.5}.get(e, 0.0) for e in events)
+    if -limit < diff < limit:
+        return "FLUCTUATING"
+    return "INCOHERENT" if (diff >= limit if reason == "WORK" else diff <= -limit) else "COHERENT"
+
+
+def stepped(events: list[str], n: int, with_work: int, no_work: int, increase: float, decrease: float) -> list[int]:
+    """The step after each push event: so many in a row with work, or without, are a reason to change it."""
+    out, seen, counts = [], [], {"WORK": 0, "NO_WORK": 0}
+    for e in events:
+        seen.append(e)
+        if e != "IMMEDIATE":
+            reason, other = ("NO_WORK", "WORK") if e == "EMPTY" else ("WORK", "NO_WORK")
+            counts[reason], counts[other] = counts[reason] + 1, 0
+            if counts[reason] >= (with_work if reason == "WORK" else no_work):
+                found = classified(seen[-(no_work if reason == "WORK" else with_work) :], reason)
+                n = next_n(n, reason, found, increase, decrease)
+                if found == "COHERENT":
+                    counts[reason] = 0
+        out.append(n)
+    return out
+
+
+def _folded(rows: DataFrame, key: str, order: str, columns: list[str], fold, out: str, kind: str) -> DataFrame:
+    """An ordered fold of each key's rows: (key, event, out...)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event")
+        return pd.DataFrame({"key": pdf.key, "event": pdf.event} | fold(*[pdf[c].tolist() for c in columns]))
+
+    own = rows.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("event"), *columns)
+    return own.groupBy("key").applyInPandas(one, f"key long, event long, {out} {kind}" if kind else f"key long, event long, {out}")
+
+
+def gradient_steps(events: DataFrame, key: str, order: str, event: str, n: int, with_work: int, no_work: int, increase: float, decrease: float) -> DataFrame:
+    """`stepped` of each key's events: (key, event, n)."""
+    return _folded(events.withColumn("_e", F.col(event)), key, order, ["_e"], lambda e: {"n": stepped(e, n, with_work, no_work, increase, decrease)}, "n", "long")
+
 
+def frontiers(operations: DataFrame, key: str, order: str, step: int, n: int, unblock: bool = True) -> DataFrame:
+    """`dynamic_frontier` of each key's operations (columns op and arg): (key, event, published)."""
+    return _folded(operations, key, order, ["op", "arg"], lambda op, arg: {"published": dynamic_frontier(list(zip(op, arg, strict=True)), step, n, unblock)}, "published", "long")
 
-def phase_trajectory(n: int, most: int, increase: float, pushes: int) -> list[tuple[int, str]]:
-    """A queue heats, its step growing, until it passes `most`, and then runs."""
-    out, phase = [], "HEATING"
-    for _ in range(pushes):
+
+def phases(gradients: list[str], n: float, least: float, most: float, increase: float, decrease: float) -> dict[str, list]:
+    """Phase and step of a queue after each push: it heats until it would pass `most`, runs, and cools down to `least`.
+
+    The step is a fraction that is kept; what a queue uses is its floor while heating and its ceiling while cooling.
+    """
+    phase, used, out = "HEATING", int(n), {"n": [], "phase": []}
+    turns = {("RUNNING", "FLUCTUATING"): "MAYBE_COOLING", ("RUNNING", "INCOHERENT"): "COOLING", ("MAYBE_COOLING", "COHERENT"): "COOLING", ("MAYBE_COOLING", "INCOHERENT"): "RUNNING"}
+    for g in gradients:
         if phase == "HEATING":
-            n = int(n * increase)
-            if n > most:
-                n, phase = most, "RUNNING"
-        out.append((n, phase))
+            hot = n * increase > most
+            n, phase = (most, "RUNNING") if hot else (n * increase, phase)
+            used = math.floor(n)
+        elif phase == "COOLING":
+            n = max(n * decrease, least)
+            used = math.ceil(n)
+        else:
+            phase = turns.get((phase, g), phase)
+        out["n"].append(used)
+        out["phase"].append(phase)
     return out
 
 
-def step_ramp(start: int, iterations: int, factor: float, every: int, most: int = 12500) -> list[int]:
-    """A step that grows by `factor` each `every` iterations, up to `most`."""
-    out = []
-    for i in range(iterations):
-        if start >= most:
-            start = most
-        elif i > 0 and i % every == 0:
-            start = int(start * factor)
-        out.append(start)
-    return out
+def phase_machine(gradients: DataFrame, key: str, order: str, gradient: str, n: float, least: float, most: float, increase: float, decrease: float) -> DataFrame:
+    """`phases` of each key's pushes: (key, event, n, phase)."""
+    return _folded(gradients.withColumn("_g", F.col(gradient)), key, order, ["_g"], lambda g: phases(g, n, least, most, increase, decrease), "n long, phase string", "")
+
+
+def _rounds(start: float, most: float, factor: float) -> int:
+    """Multiplications after which a growing step has surely passed `most`, truncated to whole numbers or not."""
+    return 2 + int(most) if factor <= 1 else 2 + math.ceil(math.log(max(most / start, 1)) / math.log(factor)) + math.ceil(2 / (factor - 1) / max(start, 1)) * 8
+
+
+def phase_trajectory(pushes: DataFrame, index: str, n: float, most: float, increase: float) -> DataFrame:
+    """(index, n, phase) after each push of a heating queue, by columns: push i has i + 1 factors, as many as matter."""
+    i, first = F.col(index), F.struct(F.lit(float(n)).alias("x"), F.lit(False).alias("done"))
+
+    def push(a: Column, _: Column) -> Column:
+        hot = a["done"] | (a["x"] * increase > most)
+        return F.struct(F.when(hot, F.lit(float(most))).otherwise(a["x"] * increase).alias("x"), hot.alias("done"))
+
+    state = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(i, F.lit(_rounds(n, most, increase)))), first, push)
+    return pushes.select(index, state.alias("s")).select(index, F.floor("s.x").alias("n"), F.when(F.col("s.done"), "RUNNING").otherwise("HEATING").alias("phase"))
+
+
+def step_ramp(iterations: DataFrame, index: str, start: int, factor: float, every: int, most: int = 12500) -> DataFrame:
+    """(index, step): a step that grows by `factor` each `every` iterations; once it has passed `most` it is that."""
+    i = F.col(index)
+    raises = F.least(F.floor(i / every), F.lit(_rounds(start, most, factor))).cast("long")
+    grown = F.aggregate(F.sequence(F.lit(1).cast("long"), raises), F.lit(start).cast("long"), lambda a, _: F.when(a >= most, F.lit(most).cast("long")).otherwise(F.floor(a * factor)))
+    grown = F.when(raises > 0, grown).otherwise(F.lit(start).cast("long"))
+    fresh = (i % every == 0) & (F.floor(i / every) == raises) & (i > 0)
+    return iterations.select(index, F.when(fresh, grown).otherwise(F.least(grown, F.lit(most).cast("long"))).alias("step"))
