@@ -6,7 +6,7 @@ import warnings
 from dataclasses import dataclass, field
 from enum import StrEnum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.operators import dedup
@@ -118,3 +118,40 @@ def check_runs(runs: DataFrame, kernel: str) -> DataFrame:
     known = F.col("synchronizer").isin(*SYNCHRONIZERS[kernel])
     checked = F.when(known, F.col("synchronizer")).otherwise(F.raise_error(F.concat(F.lit("unknown synchronizer "), F.coalesce("synchronizer", F.lit("null")))))
     return runs.withColumn("synchronizer", checked)
+
+
+def strategy(synchronizer: Column, step: Column) -> Column:
+    """What a run is called: the synchronizer, and its step where it has one."""
+    return F.when(step.isNull(), synchronizer).otherwise(F.concat_ws(".", synchronizer, step.cast("string")))
+
+
+class Callbacks:
+    """Called for each micro-batch of a stream with its rows: `push` before they are handled, `pop` after."""
+
+    def __init__(self):
+        self.push, self.pop = [], []
+
+    def around(self, handle):
+        """A function for `foreachBatch`."""
+
+        def batch(df: DataFrame, number: int) -> None:
+            for f in self.push:
+                f(df, number)
+            handle(df, number)
+            for f in self.pop:
+                f(df, number)
+
+        return batch
+
+
+def functions(path: str, *names: str) -> tuple:
+    """Python callables by name from a module's file: a user's own producer and consumer."""
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("stepwell_user", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    missing = [n for n in names if not callable(getattr(module, n, None))]
+    if missing:
+        raise ValueError(f"{path} has no {', '.join(missing)}")
+    return tuple(getattr(module, n) for n in names)

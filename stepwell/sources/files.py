@@ -7,9 +7,12 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from stepwell.session import files_of, write_bytes
 
 RUNS = "runs array<struct<synchronizer:string,function:string,extras:map<string,string>,times:array<double>>>"
 SPEC = "iterations int, description string, runs array<struct<synchronizer:string,extras:map<string,string>>>"
@@ -22,6 +25,23 @@ def streams(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "length", "content")
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame:
+    """`streams` of one path that must be a regular file."""
+    files, at = files_of(spark, path)
+    if not files.exists(at):
+        raise FileNotFoundError(f"no file {path}")
+    if not files.getFileStatus(at).isFile():
+        raise ValueError(f"{path} is not a regular file")
+    return streams(spark, path)
+
+
+def preloaded(spark: SparkSession, path: str) -> DataFrame:
+    """`existing`, read once: further uses take the bytes from memory, or from disk where they do not fit."""
+    out = existing(spark, path).persist(StorageLevel.MEMORY_AND_DISK_2)
+    out.count()
+    return out
+
+
 def int_matrix(spark: SparkSession, path: str, dims: tuple[int, int, int, int]) -> DataFrame:
     """Whitespace-separated numbers in C order as (w, x, y, z, v)."""
     _, x, y, z = dims
@@ -45,6 +65,37 @@ def from_bits(bits: int) -> float:
     return float(np.uint32(bits).view(np.float32))
 
 
+def bits_of(v: Column) -> Column:
+    """A float column's bits as unsigned numbers, by its IEEE 754 parts; the other way round is `value_of`."""
+    size, negative = F.abs(v.cast("double")), (v < 0) | (v.cast("string") == "-0.0")
+    power = F.greatest(F.floor(F.log2(size)), F.lit(-126))
+    power = F.when(size >= F.pow(F.lit(2.0), power + 1), power + 1).when((size < F.pow(F.lit(2.0), power)) & (power > -126), power - 1).otherwise(power)
+    whole = F.round(size / F.pow(F.lit(2.0), power - 23)).cast("long")
+    bits = F.when(size == 0, F.lit(0)).when(whole < 1 << 23, whole).otherwise((power + 126) * (1 << 23) + whole)
+    bits = F.when(F.isnan(v), F.lit(0x7FC00000)).when(size == float("inf"), F.lit(0x7F800000)).otherwise(bits)
+    return (bits + F.when(negative, F.lit(1 << 31)).otherwise(0)).cast("long")
+
+
+def value_of(bits: Column) -> Column:
+    """The float of unsigned bits."""
+    sign, power, rest = F.when(F.shiftright(bits, 31) == 1, -1.0).otherwise(1.0), F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit((1 << 23) - 1))
+    small = rest * F.lit(2.0**-149)
+    normal = (rest + (1 << 23)) * F.pow(F.lit(2.0), power - 150)
+    special = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return (sign * F.when(power == 255, special).when(power == 0, small).otherwise(normal)).cast("float")
+
+
+def write_float_matrix(a: DataFrame, b: DataFrame, path: str) -> None:
+    """What `float_matrix` reads, as one text file: the matrix's bits on a line, the number of vectors, a line each."""
+    line = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(*order, bits_of(F.col("v")).alias("bits")))).alias("c"))  # noqa: E731  the format has a matrix on one line
+    text = lambda df: df.select(F.concat_ws(" ", F.transform("c", lambda c: c["bits"].cast("string"))).alias("value"))
+    whole = text(line(a, ["i", "j"])).select(F.lit(0).cast("long").alias("n"), "value")
+    count = b.agg(F.countDistinct("rhs").cast("string").alias("value")).select(F.lit(1).cast("long").alias("n"), "value")
+    vectors = b.groupBy("rhs").agg(F.array_sort(F.collect_list(F.struct("i", bits_of(F.col("v")).alias("bits")))).alias("c"))
+    rows = vectors.select((F.col("rhs") + 2).alias("n"), F.concat_ws(" ", F.transform("c", lambda c: c["bits"].cast("string"))).alias("value"))
+    whole.union(count).union(rows).orderBy("n").select("value").coalesce(1).write.text(path)
+
+
 def float_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """First line the matrix as float32 bits, second the number of vectors, then one vector a line: (i, j, v) and (rhs, i, v)."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
@@ -98,7 +149,31 @@ def ini(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value string")
 
 
-def write_dump(dump: dict, path: str) -> None:
-    """An observer's state as JSON."""
-    with open(path, "w") as f:
-        json.dump(dump, f, sort_keys=True)
+META = "w int, x int, y int, z int, iterations int, active string, threads int"
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A simulation's `data.json` as one row with its path; a missing key is an error when the row is read."""
+    found = spark.read.schema(META).option("multiLine", True).json(path)
+    need = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"no {c} in the metadata"))).otherwise(F.col(c)).alias(c)
+    return found.select(F.input_file_name().alias("path"), *[need(c) for c in ("w", "x", "y", "z", "iterations", "active", "threads")])
+
+
+def write_parameters(spark: SparkSession, parameters: dict, path: str) -> None:
+    """A run's sizes, iterations, threads and description as one JSON file."""
+    write_bytes(spark, path, [json.dumps(parameters, indent=4).encode()])
+
+
+def write_iterations(times: DataFrame, path: str) -> None:
+    """Rows (synchronizer, function, iteration, local, thread, time) as nested JSON: a line a run of
+    ``{synchronizer, function, iterations: [{local_iterations: [{threads: [time]}]}]}``, in order."""
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda c: c[value])
+    run = ["synchronizer", "function"]
+    threads = times.groupBy(*run, "iteration", "local").agg(F.struct(ordered("thread", "time").alias("threads")).alias("t"))
+    local = threads.groupBy(*run, "iteration").agg(F.struct(ordered("local", "t").alias("local_iterations")).alias("l"))
+    local.groupBy(*run).agg(ordered("iteration", "l").alias("iterations")).write.json(path)
+
+
+def write_dump(spark: SparkSession, dump: dict, path: str) -> None:
+    """An observer's state as JSON, in any store."""
+    write_bytes(spark, path, [json.dumps(dump, sort_keys=True).encode()])

@@ -254,6 +254,66 @@ def test_run_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "numerics")).columns == ["sync", "avg", "var", "std", "vc"]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from stepwell import cli
+
+    data = EDGES[-1] + bytes(9000) + EDGES[-1]
+    (tmp_path / "in.bin").write_bytes(data)
+    job = {"input": str(tmp_path / "in.bin"), "codec": "bzip2", "jump": 3000, "layers": {"fragment": [{"outputs": {"0": {"n": 2}}}]}}
+    (tmp_path / "job.json").write_text(json.dumps(job))
+    out, back = str(tmp_path / "a.dedup"), str(tmp_path / "back.bin")
+    args = cli.parser().parse_args(["dedup", "-f", str(tmp_path / "job.json"), "-a", "--output", out, "--observers", str(tmp_path / "obs.json")])
+    report = cli.run_dedup(spark, args)
+    assert report["total_input"] == len(data) and report["total_output"] == os.path.getsize(out) and report["n_duplicates"] > 0
+    assert json.loads((tmp_path / "obs.json").read_text())[0]["fifo_id"] == 0
+    assert cli.run_decode(spark, cli.parser().parse_args(["decode", out, back])) == {"bytes": len(data)} and open(back, "rb").read() == data
+    numbers = cli.run_dedup(spark, cli.parser().parse_args(["dedup", "-f", str(tmp_path / "job.json"), "--numbers"]))
+    assert numbers["refined"] == report["n_chunks"]
+    with pytest.raises(FileNotFoundError):
+        files.existing(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="regular"):
+        files.preloaded(spark, str(tmp_path))
+    dims = (3, 3, 3, 2)
+    start = stencil.cube(spark, dims)
+    flat = lambda df: " ".join(str(r.v) for r in df.orderBy("w", "x", "y", "z").collect())
+    (tmp_path / "start.txt").write_text(flat(start))
+    (tmp_path / "want.txt").write_text(flat(stencil.heat(start, dims)))
+    (tmp_path / "spec.json").write_text(json.dumps({"iterations": 1, "description": "x", "runs": [{"synchronizer": "sequential", "extras": {}}]}))
+    args = ["heat", "--simulations-file", str(tmp_path / "spec.json"), "--start-matrix-file", str(tmp_path / "start.txt"), "--input-matrix-file", str(tmp_path / "want.txt"), "--dims", "3", "3", "3", "2", "--general-log-file", str(tmp_path / "log.json"), "--runs-times-file", str(tmp_path / "times")]
+    assert cli.run_kernel(spark, cli.parser().parse_args(args)) == {"runs": 1, "equal": True}
+    assert json.loads((tmp_path / "log.json").read_text())["w"] == 3 and files.run_logs(spark, str(tmp_path / "times")).count() == 1
+
+
+def test_more_files(spark, tmp_path):
+    values = [0.0, -0.0, 1.0, -1.5, 3.4e38, 1e-40, 2.0**-126, 0.1, 123456.789, float("inf")]
+    df = spark.createDataFrame([(i, float(np.float32(v))) for i, v in enumerate(values)], "n int, v float")
+    for r in df.select("v", files.bits_of(F.col("v")).alias("b")).withColumn("w", files.value_of(F.col("b"))).collect():
+        assert r.b == files.float_bits(r.v) and np.float32(r.w).view(np.uint32) == np.float32(r.v).view(np.uint32)
+    a = spark.createDataFrame([(i, j, float(i * 2 + j + 1)) for i in range(2) for j in range(2)], "i long, j long, v double")
+    b = spark.createDataFrame([(k, i, float(5 + 2 * k + i)) for k in range(2) for i in range(2)], "rhs long, i long, v double")
+    files.write_float_matrix(a, b, str(tmp_path / "m"))
+    m, v = files.float_matrix(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, a.collect())) and sorted(map(tuple, v.collect())) == sorted(map(tuple, b.collect()))
+    (tmp_path / "data.json").write_text(json.dumps({"w": 1, "x": 2, "y": 3, "z": 4, "iterations": 5, "active": True, "threads": 6}))
+    assert tuple(files.metadata(spark, str(tmp_path / "data.json")).first())[1:] == (1, 2, 3, 4, 5, "true", 6)
+    times = spark.createDataFrame([("a", "f", i, k, t, float(100 * i + 10 * k + t)) for i in range(2) for k in range(2) for t in range(3)], "synchronizer string, function string, iteration int, local int, thread int, time double")
+    files.write_iterations(times, str(tmp_path / "it"))
+    one = spark.read.json(str(tmp_path / "it")).first()
+    assert one.iterations[1].local_iterations[0].threads == [100.0, 101.0, 102.0]
+    files.write_dump(spark, {"b": 1, "a": [2]}, str(tmp_path / "dump.json"))
+    assert (tmp_path / "dump.json").read_text() == '{"a": [2], "b": 1}'
+    seen = []
+    calls = topology.Callbacks()
+    calls.push.append(lambda d, n: seen.append(("push", n)))
+    calls.pop.append(lambda d, n: seen.append(("pop", n)))
+    calls.around(lambda d, n: seen.append(("handle", n)))(df, 3)
+    assert seen == [("push", 3), ("handle", 3), ("pop", 3)]
+    (tmp_path / "user.py").write_text("def produce():\n    return 1\n")
+    assert topology.functions(str(tmp_path / "user.py"), "produce")[0]() == 1
+    with pytest.raises(ValueError, match="consume"):
+        topology.functions(str(tmp_path / "user.py"), "produce", "consume")
+
+
 def test_decoded_file(spark, tmp_path):
     df = spark.createDataFrame([(0, bytearray(EDGES[-1]))], "doc_id long, text binary")
     path = str(tmp_path / "out.bin")
