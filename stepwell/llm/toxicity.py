@@ -12,8 +12,10 @@ places whose presence differs between the classes (by a signed chi-square root)
 document is one table look-up a token.  Fits go on until the gradient vanishes.
 
 Training reads at most `max_train` labelled documents, those with the least hash of their
-identifier, through a broadcast of their labels; this is the bound on what the driver sees:
-at most `max_train` rows, of each the places that entered, packed.  Scoring covers every document.
+identifier, through a broadcast of their labels; they are written once.  This is the bound on
+what the driver sees: at most `max_train` rows, of each the places that entered, packed.  The
+models of a category (one without each fold, one of all) are fitted by a task each.  Scoring
+covers every document.
 
 Nulls and edges: a null or empty text has no features and gets the models' constant.  A
 null label is left out of its category; labels that repeat an identifier with different
@@ -28,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,7 +197,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     own = own.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_train)
     ys = [f"y{i}" for i in range(len(categories))]
-    sample = S.two(documents, id_col, text_col).join(F.broadcast(own), "id").select("id", "text", *ys)  # max_train rows at most
+    sample = S.save(S.two(documents, id_col, text_col).join(F.broadcast(own), "id").select("id", "text", *ys), "sample")  # max_train identifiers at most
     label_at = [2 + i for i in range(len(ys))]
     shape = T.StructType().add("place", "integer")
     for i in range(2 * len(ys)):
@@ -215,7 +217,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...],
         chosen |= {r.place for r in ranked.filter(F.col("z") >= SIGNIFICANT).collect()}  # PLACES rows at most
     places = np.array(sorted(chosen), np.int64)
     rows = sample.mapInArrow(_selected(places, label_at), "id long, labels array<int>, places binary").collect() if len(places) else []
-    return _fit_chain(rows, places, categories, folds)
+    return _fit_chain(documents.sparkSession, rows, places, categories, folds)
 
 
 def _selected(places: np.ndarray, label_at: list[int]):
@@ -239,7 +241,26 @@ def _selected(places: np.ndarray, label_at: list[int]):
     return select
 
 
-def _fit_chain(rows: list, places: np.ndarray, categories: tuple[str, ...], folds: int) -> Chain:
+def _fit_folds(spark: SparkSession, features: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int, n: int) -> list[np.ndarray | None]:
+    """Weights of the model without each fold, and of that of all rows, each fitted by a task of its own."""
+    shared = spark.sparkContext.broadcast((np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int32), np.array([len(x) for x in features], np.int64), earlier, y, fold))  # max_train rows at most
+
+    def run(batches):
+        at, sizes, extra, labels, own = shared.value
+        rows = np.split(at.astype(np.int64), np.cumsum(sizes)[:-1]) if len(sizes) else []
+        for batch in batches:
+            out = []
+            for f in batch.column(0).to_pylist():
+                inside = np.flatnonzero((labels >= 0) & (own != f))
+                out.append(fit([rows[i] for i in inside], extra[inside], labels[inside], n).tobytes() if len(set(labels[inside].tolist())) == 2 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fold", "weights"])
+
+    found = {r.fold: r.weights for r in spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "fold long, weights binary").collect()}
+    shared.unpersist()
+    return [None if found[f] is None else np.frombuffer(bytes(found[f])) for f in range(folds + 1)]
+
+
+def _fit_chain(spark: SparkSession, rows: list, places: np.ndarray, categories: tuple[str, ...], folds: int) -> Chain:
     chain = Chain(categories, places)
     rows = sorted(rows, key=lambda r: (r.id, r.places))
     features = [np.frombuffer(r.places, np.int32).astype(np.int64) for r in rows]
@@ -256,14 +277,11 @@ def _fit_chain(rows: list, places: np.ndarray, categories: tuple[str, ...], fold
             earlier = np.column_stack([earlier, np.full(len(rows), share)])
             continue
         out = np.full(len(rows), share)
-        for f in range(folds):
-            inside, outside = np.flatnonzero(known & (fold != f)), np.flatnonzero(fold == f)
-            if not len(outside) or len(set(y[inside])) < 2:
-                continue
-            w = fit([features[i] for i in inside], earlier[inside], y[inside], len(places))
-            for i in outside:
+        weights = _fit_folds(spark, features, earlier, y, fold, folds, len(places))
+        for f, w in enumerate(weights[:-1]):
+            for i in np.flatnonzero(fold == f) if w is not None else ():
                 out[i] = _logistic(w[features[i]].sum() + earlier[i] @ w[len(places) : -1] + w[-1])
-        chain.weights.append(fit([features[i] for i in np.flatnonzero(known)], earlier[known], y[known], len(places)))
+        chain.weights.append(weights[-1])
         chain.constants.append(None)
         chain.thresholds.append(_threshold(out[known], y[known]))
         earlier = np.column_stack([earlier, out])
