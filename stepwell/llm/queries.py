@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language_model, pii, substring_dedup, toxicity, url_filter
 
-#: The place of the public vocabulary; another may be named by the environment.
-VOCABULARY = os.environ.get("STEPWELL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+#: The place of the public vocabulary.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 #: Rules of the URL contract: verdict, host, path.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
