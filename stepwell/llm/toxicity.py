@@ -14,7 +14,7 @@ document is one table look-up a token.  Fits go on until the gradient vanishes.
 Training reads at most `max_train` labelled documents, those with the least hash of their
 identifier, through a broadcast of their labels; they are written once.  This is the bound on
 what the driver sees: at most `max_train` rows, of each the places that entered, packed.  The
-models of a category (one without each fold, one of all) are fitted by a task each.  Scoring
+model of a category is fitted by a task on all rows, then by a task each without a fold.  Scoring
 covers every document.
 
 Nulls and edges: a null or empty text has no features and gets the models' constant.  A
@@ -39,6 +39,7 @@ from stepwell.llm import tables as S
 
 PLACES, BEGINNINGS = 1 << 18, (5, 6, 7, 8)
 MAX_TRAIN, KEEP_FEATURES, FOLDS = 20_000, 768, 5
+PIECE = 1 << 16
 SIGNIFICANT = 3.5  # by chance, about 120 of the places at most
 
 
@@ -68,52 +69,64 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _sums(sizes: np.ndarray):
-    """Sums of consecutive groups of the sizes given; an empty group's is 0."""
+def _sums(index: np.ndarray, sizes: np.ndarray):
+    """Sums, over consecutive groups of `index` of the sizes given, of the values there; an empty group's is 0.
+
+    Groups are worked off in pieces that stay in the processor's cache.
+    """
     some = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[some]
+    ends = np.concatenate([[0], np.cumsum(sizes[some])])
+    pieces, a = [], 0
+    while a < len(some):
+        b = max(int(np.searchsorted(ends, ends[a] + PIECE, "right")) - 1, a + 1)
+        pieces.append((some[a:b], index[ends[a] : ends[b]], ends[a:b] - ends[a]))
+        a = b
+    room = np.empty(max((len(at) for _, at, _ in pieces), default=0))
 
     def sums(values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(sizes))
-        if len(some):
-            out[some] = np.add.reduceat(values, starts)
+        for groups, at, starts in pieces:
+            out[groups] = np.add.reduceat(values.take(at, out=room[: len(at)], mode="clip"), starts)
         return out
 
     return sums
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, ridge: float = 1.0, tolerance: float = 1e-6) -> np.ndarray:
+def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, ridge: float = 1.0, tolerance: float = 1e-6, start: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression on presence features and extra columns; weights, extra weights, constant.
 
-    Newton steps until the gradient is `tolerance` of the first; each solves for its direction by conjugate
-    gradients, scaled by the curvature of each weight, and is halved until the loss falls.
+    Newton steps until the gradient is `tolerance` of that at zero weights; each solves for its direction by
+    conjugate gradients, scaled by the curvature of each weight, and is halved until the loss falls.  The loss
+    has one least point: weights to `start` from, as those of nearly the same rows, only shorten the way.
     """
-    at, sizes = np.concatenate([*rows, np.zeros(0, np.int64)]), np.array([len(r) for r in rows])
+    at, sizes = np.concatenate([*rows, np.zeros(0, np.int64)]), np.array([len(r) for r in rows], np.int64)
     k, m = extra.shape[1], len(y)
-    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(at, kind="stable")]  # by place
-    by_row, by_place = _sums(sizes), _sums(np.bincount(at, minlength=n))
-    times = lambda x: by_row(x.take(at)) + extra @ x[n : n + k] + x[-1]
-    back = lambda z: np.concatenate([by_place(z.take(owner)), extra.T @ z, [z.sum()]])
+    owner = np.repeat(np.arange(m), sizes)[np.argsort(at, kind="stable")]  # by place
+    by_row, by_place = _sums(at, sizes), _sums(owner, np.bincount(at, minlength=n))
+    times = lambda x: by_row(x) + extra @ x[n : n + k] + x[-1]
+    back = lambda z: np.concatenate([by_place(z), extra.T @ z, [z.sum()]])
     penalty = np.full(n + k + 1, ridge)
     penalty[-1] = 1e-9
     w = np.zeros(n + k + 1)
     w[-1] = np.log((y.sum() + 0.5) / (m - y.sum() + 0.5))
     loss = lambda x, z: np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * x) @ x
+    first = float(np.linalg.norm(back(_logistic(times(w)) - y) + penalty * w))
+    if start is not None:
+        w = start.copy()
     z = times(w)
-    now, first = loss(w, z), None
+    now = loss(w, z)
     while True:
         p = _logistic(z)
         grad = back(p - y) + penalty * w
         size = float(np.sqrt(grad @ grad))
-        first = size if first is None else first
         if size <= tolerance * first:
             return w
         curve = p * (1 - p)
-        scale = np.concatenate([by_place(curve.take(owner)), (extra**2).T @ curve, [curve.sum()]]) + penalty
+        scale = np.concatenate([by_place(curve), (extra**2).T @ curve, [curve.sum()]]) + penalty
         step, rest = np.zeros_like(w), -grad
         along = rest / scale
         inner = rest @ along
-        aim = min(0.1, np.sqrt(size / first)) * size
+        aim = max(min(0.1, np.sqrt(size / first)) * size, 0.3 * tolerance * first)
         while np.sqrt(rest @ rest) > aim:
             bent = back(curve * times(along)) + penalty * along
             length = inner / (along @ bent)
@@ -242,22 +255,28 @@ def _selected(places: np.ndarray, label_at: list[int]):
 
 
 def _fit_folds(spark: SparkSession, features: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int, n: int) -> list[np.ndarray | None]:
-    """Weights of the model without each fold, and of that of all rows, each fitted by a task of its own."""
+    """Weights of the model without each fold, and of that of all rows; a task fits that first, others the rest from there."""
     shared = spark.sparkContext.broadcast((np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int32), np.array([len(x) for x in features], np.int64), earlier, y, fold))  # max_train rows at most
 
-    def run(batches):
-        at, sizes, extra, labels, own = shared.value
-        rows = np.split(at.astype(np.int64), np.cumsum(sizes)[:-1]) if len(sizes) else []
-        for batch in batches:
-            out = []
-            for f in batch.column(0).to_pylist():
-                inside = np.flatnonzero((labels >= 0) & (own != f))
-                out.append(fit([rows[i] for i in inside], extra[inside], labels[inside], n).tobytes() if len(set(labels[inside].tolist())) == 2 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fold", "weights"])
-
-    found = {r.fold: r.weights for r in spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "fold long, weights binary").collect()}
+    def fitted(first: int, end: int, start: np.ndarray | None) -> list[np.ndarray | None]:
+        def run(batches):
+            at, sizes, extra, labels, own = shared.value
+            ends = np.cumsum(sizes)
+            for batch in batches:
+                out = []
+                for f in batch.column(0).to_pylist():
+                    inside = np.flatnonzero((labels >= 0) & (own != f))
+                    rows = [at[ends[i] - sizes[i] : ends[i]] for i in inside]
+                    out.append(fit(rows, extra[inside], labels[inside], n, start=start).tobytes() if len(set(labels[inside].tolist())) == 2 else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fold", "weights"])
+
+        found = {r.fold: r.weights for r in spark.range(first, end, 1, end - first).mapInArrow(run, "fold long, weights binary").collect()}
+        return [None if found[f] is None else np.frombuffer(bytes(found[f])) for f in range(first, end)]
+
+    whole = fitted(folds, folds + 1, None)
+    parts = fitted(0, folds, whole[0])
     shared.unpersist()
-    return [None if found[f] is None else np.frombuffer(bytes(found[f])) for f in range(folds + 1)]
+    return parts + whole
 
 
 def _fit_chain(spark: SparkSession, rows: list, places: np.ndarray, categories: tuple[str, ...], folds: int) -> Chain:
