@@ -2,7 +2,7 @@
 
 Texts are first merged where they are read: each task keeps a compressed radix trie of
 its own texts, so a group of copies leaves a task as one representative whatever its
-size.  Representatives are then dealt out by byte length and content hash, and the task
+size (one for each `MERGE` bytes of different texts, where a task reads more).  Representatives are then dealt out by byte length and content hash, and the task
 that gets them, the owner of their strings, inserts the full byte strings into a trie.
 A terminal node holds the best identifier seen, the number of rows, and the
 representatives that ended there; hashes only choose the task, the trie decides equality.
@@ -36,7 +36,9 @@ from stepwell.llm import tables as S
 
 #: Bytes of labels and nodes that a trie may hold.
 BUDGET = 96 << 20
-_NODE = 160  # a node's own size, besides its label
+#: Bytes of different texts that a reading task merges before it sends them on.
+MERGE = 32 << 20
+_NODE, _REF = 160, 160  # a node's own size, besides its label; a reference's
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -88,13 +90,13 @@ class PatriciaTrie:
         self.root, self.budget, self.spill = Node(b""), budget, spill
         self.size, self.spills = 0, 0
 
-    def insert(self, text: bytes, rank, row: int, count: int, ref) -> None:
-        """`rank` decides who owns the string, the larger the better; ties go to the smaller row."""
+    def insert(self, text: bytes, rank, row: int, count: int, ref) -> Terminal | None:
+        """The string's terminal, None if spilled.  `rank` decides who owns it, the larger the better; ties go to the smaller row."""
         node, at = self.root, 0
         while True:
             if node.spilled:
                 self.spill(text, Terminal(rank, row, count, ref))
-                return
+                return None
             if at == len(text):
                 break
             child = node.children.get(text[at])
@@ -119,14 +121,16 @@ class PatriciaTrie:
             node.terminal = Terminal(rank, row, count, ref)
         else:
             node.terminal.add(rank, row, count, ref)
+            self.size += _REF if self.spill else 0
         if self.size > self.budget and self.spill:
             self._spill()
+        return node.terminal
 
     def _weight(self, node: Node) -> int:
         total, stack = 0, [node]
         while stack:
             x = stack.pop()
-            total += len(x.label) + _NODE
+            total += len(x.label) + _NODE + (_REF * (len(x.terminal.refs) - 1) if x.terminal else 0)
             stack.extend(x.children.values())
         return total
 
@@ -180,33 +184,39 @@ _LOCAL = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("rep", pa.int64())
 _LOCAL_SQL = "row long, id long, rep long, sha string, size long, key long, owner long, owner_row long, count long, text binary"
 
 
-def _merge_where_read(keep: str, budget: int):
+def _merge_where_read(keep: str):
+    """Each row with its representative, the first row of the task with its text; and the representatives, with texts."""
+
     def merge(batches):
         first = next(S.serial())
+        trie = PatriciaTrie()
         for batch in batches:
             ids, empty = K.ids_of(batch.column(0))
-            trie = PatriciaTrie(budget)
             digests: list[str] = []
-            texts: dict[int, bytes] = {}
+            reps = np.zeros(len(ids), np.int64)
             for i, text in enumerate(_texts(batch)):
                 digests.append(hashlib.sha256(text).hexdigest())
-                texts[i] = text
-                trie.insert(text, _rank(int(ids[i]), bool(empty[i]), keep), first + i, 1, i)
+                found = trie.insert(text, (*_rank(int(ids[i]), bool(empty[i]), keep), int(ids[i])), first + i, 1, first + i)
+                del found.refs[1:]
+                reps[i] = found.refs[0]
             n = len(digests)
-            reps, found = np.zeros(n, np.int64), {}
-            for t in trie.terminals():
-                rep = t.refs[0]
-                reps[t.refs] = first + rep
-                found[rep] = t
-            cols = {k: [None] * n for k in ("size", "key", "owner", "owner_row", "count", "text")}
-            for rep, t in found.items():
-                own = t.row - first
-                cols["size"][rep] = len(texts[rep])
-                cols["key"][rep] = xxhash.xxh64_intdigest(texts[rep]) - (1 << 63)
-                cols["owner"][rep] = None if empty[own] else int(ids[own])
-                cols["owner_row"][rep], cols["count"][rep], cols["text"][rep] = t.row, t.count, texts[rep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), K.long_array(ids, empty), pa.array(reps), pa.array(digests, pa.string()), *(pa.array(cols[k], _LOCAL.field(k).type) for k in ("size", "key", "owner", "owner_row", "count", "text"))], schema=_LOCAL)
+            none = [pa.nulls(n, f.type) for f in list(_LOCAL)[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), K.long_array(ids, empty), pa.array(reps), pa.array(digests, pa.string()), *none], schema=_LOCAL)
             first += n
+            if trie.size >= MERGE:
+                yield from texts(trie)
+                trie = PatriciaTrie()
+        yield from texts(trie)
+
+    def texts(trie):
+        held, size = [], 0
+        for text, t in trie.walk():
+            held.append({"rep": t.refs[0], "size": len(text), "key": xxhash.xxh64_intdigest(text) - (1 << 63), "owner": t.rank[-1] if t.rank[0] else None, "owner_row": t.row, "count": t.count, "text": text})
+            size += len(text) + 64
+            if size >= S.BATCH_BYTES // 4:
+                yield S.record(held, _LOCAL)
+                held, size = [], 0
+        yield S.record(held, _LOCAL)
 
     return merge
 
@@ -263,7 +273,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         raise ValueError(f"keep is smallest or largest, not {keep!r}")
     spark = df.sparkSession
     S.tune(spark)
-    local = S.save(S.two(df, id_col, text_col).mapInArrow(_merge_where_read(keep, budget * 8), _LOCAL_SQL), "texts")
+    local = S.save(S.two(df, id_col, text_col).mapInArrow(_merge_where_read(keep), _LOCAL_SQL), "texts")
     reps = local.filter(F.col("text").isNotNull())
     size = reps.agg(F.sum("size")).first()[0] or 0
     n = S.partitions(spark, size)
@@ -279,7 +289,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         if left.isEmpty():
             break
         todo, n = left.select("keep_id", "owner_row", "group_size", "text", "reps", "size", "key"), n * 4
-    out = local.select("row", "id", "rep", "sha").join(owned, "rep")
+    out = local.filter(F.col("row").isNotNull()).select("row", "id", "rep", "sha").join(owned, "rep")
     return out.select("id", "keep_id", "group_size", (F.col("row") == F.col("owner_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
@@ -304,16 +314,39 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         ids, empty = K.ids_of(two.column(0))
         return ids, empty, list(_texts(two))
 
+    def best(held):
+        """Of the batches' rows those that stay, one for each text."""
+        batch = pa.concat_batches(held)
+        ids, empty, texts = split(batch)
+        trie = PatriciaTrie()
+        for i, text in enumerate(texts):
+            trie.insert(text, _rank(int(ids[i]), bool(empty[i]), keep), i, 1, 0)
+        stay = sorted(t.row for t in trie.terminals())
+        return batch.take(pa.array(stay, pa.int64())), [texts[i] for i in stay]
+
+    def with_keys(batch, texts):
+        key = pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
+        size = pa.array([len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, size, key], names=[*batch.schema.names, "size_", "key_"])
+
     def merge(batches):
+        held, size = [], 0
         for batch in batches:
-            ids, empty, texts = split(batch)
-            trie = PatriciaTrie(budget * 8)
-            for i, text in enumerate(texts):
-                trie.insert(text, _rank(int(ids[i]), bool(empty[i]), keep), i, 1, i)
-            stay = sorted(t.row for t in trie.terminals())
-            key = pa.array([xxhash.xxh64_intdigest(texts[i]) - (1 << 63) for i in stay], pa.int64())
-            size = pa.array([len(texts[i]) for i in stay], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(stay, pa.int64())).columns, size, key], names=[*batch.schema.names, "size_", "key_"])
+            if not batch.num_rows:
+                continue
+            if held and size + batch.nbytes > 1 << 30:  # an Arrow column holds 2 GB
+                yield with_keys(*best(held))
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+            if size >= MERGE:
+                left, texts = best(held)
+                held, size = [left], left.nbytes
+                if size > MERGE // 2:
+                    yield with_keys(left, texts)
+                    held, size = [], 0
+        if held:
+            yield with_keys(*best(held))
 
     def own(batches):
         held: list[pa.RecordBatch] = []
