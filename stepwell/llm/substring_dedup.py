@@ -130,10 +130,9 @@ def _minimisers(window: int, gram: int, buckets: int):
                 hashes, counts = np.unique(Supers(K.words(body, offsets), window, gram).hashes, return_counts=True)
                 where = (K.mix(hashes) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[order], np.arange(buckets + 1))
+                met, begins = np.unique(where[order], return_index=True)  # only buckets that get something
                 found = []
-                for p in np.flatnonzero(np.diff(edges)).tolist():
-                    own = order[edges[p] : edges[p + 1]]
+                for p, own in zip(met.tolist(), np.split(order, begins[1:]), strict=False):
                     found.append({"bucket": p, "block": row["block"], "n": len(own), "hashes": hashes[own].tobytes(), "more": (counts[own] > 1).astype(np.uint8).tobytes()})
                 yield S.record(found, _HASHES)
 
@@ -202,8 +201,9 @@ def _split(window: int, gram: int, buckets: int):
         where = (K.mix(key) % np.uint64(buckets)).astype(np.int64)
         count = np.minimum(np.array(counts, np.int64), 2).astype(np.uint8)
         found = []
-        for p in np.unique(where).tolist():
-            own = np.flatnonzero(where == p)
+        order = np.argsort(where, kind="stable")
+        met, begins = np.unique(where[order], return_index=True)
+        for p, own in zip(met.tolist(), np.split(order, begins[1:]), strict=False):
             part = [strings[i] for i in own.tolist()]
             size = sum(map(len, part))
             found.append({"kind": 2, "block": row["block"], "bucket": p, "n": len(own), "size": size, "which": own.astype(np.int32).tobytes(), "keys": key[own].tobytes(), "counts": count[own].tobytes(), "ends": np.cumsum([len(x) for x in part]).astype(np.int32).tobytes(), "strings": S.squeeze(b"".join(part), 3)})
