@@ -112,6 +112,62 @@ def test_chat_long_chains(spark):
     assert (named[5, "assistant", "y"].turn_at, named[5, "tool", "y"].turn_at, named[5, "tool", "y"].step) == (4, 4, 1)
 
 
+def brute_link(messages):
+    """Of each message (seq, turn, ids of calls with what they need, result's id) of a conversation what link tells."""
+    low = lambda t: -(1 << 62) if t is None else t
+    calls = sorted(((low(turn), seq, i) for seq, turn, own, _ in messages for i, _ in own), key=lambda x: x[:2])
+    owner = {}
+    for _, seq, i in calls:
+        owner.setdefault(i, seq)
+    answers = {i: [seq for seq, _, _, r in messages if r == i] for i in owner}
+    causes = {seq: {owner[r]} if r in owner else {x for _, after in own for i in after for x in answers.get(i, ())} for seq, _, own, r in messages}
+    causes = {seq: own - {seq} for seq, own in causes.items()}
+    at, core = {seq: low(turn) for seq, turn, _, _ in messages}, set(causes)
+    while gone := {x for x in core if not causes[x] & core or not any(x in causes[y] for y in core)}:
+        core -= gone
+    causes = {x: {c for c in own if not (x in core and c in core and (at[c], c) > (at[x], x))} for x, own in causes.items()}
+    places = {}
+    while len(places) < len(causes):
+        for x, own in causes.items():
+            if x not in places and own <= places.keys():
+                places[x] = max([(at[x], 0), *((places[c][0], places[c][1] + 1) for c in own)])
+    out = {}
+    for seq, turn, own, r in messages:
+        ids, (place, step) = [i for i, _ in own], places[seq]
+        again = any(owner[i] != seq for i in ids) or len(ids) > len(set(ids))
+        out[seq] = (None if place == low(None) else place, step, owner.get(r), r is not None and r not in owner, any(owner[i] == seq and not answers[i] for i in ids), again, seq in core)
+    return out
+
+
+def test_chat_equals_brute_force(spark):
+    """Random conversations: repeated identifiers, null turns, ties, several causes, cycles, orphans."""
+    r, rows, made = random.Random(4), [], {}
+    for conv in [None, *range(60)]:
+        ids = [f"k{i}" for i in range(r.randint(1, 7))]
+        for n in range(r.randint(1, 14)):
+            turn, name = r.choice([None, 0, 1, 2, 3, 3]), f"{conv}/{n}"
+            kind = r.random()
+            if kind < 0.45:
+                own = [(i, r.sample([*ids, "absent"], r.randint(0, min(2, len(ids))))) for i in r.choices(ids, k=r.randint(1, 2))]
+                made[name] = (turn, own, None)
+                rows.append((conv, turn, "assistant", json.dumps({"content": name, "tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x"}, "after": a} for i, a in own]})))
+            elif kind < 0.9:
+                made[name] = (turn, [], r.choice([*ids, "none"]))
+                rows.append((conv, turn, "tool", json.dumps({"content": name, "tool_call_id": made[name][2]})))
+            else:
+                made[name] = (turn, [], None)
+                rows.append((conv, turn, "user", name))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.link(df, queries.TOOL_SCHEMAS).collect()
+    assert len(got) == len(rows)
+    talks = {}
+    for x in got:
+        talks.setdefault(x.conv, []).append((x.seq, *made[json.loads(x.json)["content"]]))
+    want = {seq: found for messages in talks.values() for seq, found in brute_link(messages).items()}
+    assert {x.seq: (x.turn_at, x.step, x.link, x.orphan, x.unanswered, x.repeated, x.cyclic) for x in got} == want
+    assert 20 < sum(x.cyclic for x in got) < len(got) - 100 and max(x.step for x in got) > 3
+
+
 # ---------------------------------------------------------------- BPE
 
 PATH = queries.VOCABULARY
@@ -248,3 +304,25 @@ def test_pipeline(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(last) == len(texts) and all(x.round_trip and x.token_ids == library.encode(texts[x.doc_id], add_special_tokens=False).ids for x in last)
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(texts)
+
+
+def test_pipeline_edges(spark, tmp_path, library):
+    """Nulls, empty and repeated rows, a long text and further columns; then empty tables."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(30000))
+    passage = " ".join(f"q{i} r{i}" for i in range(20))
+    rows = [(1, None), (2, ""), (3, "Same words here"), (4, "same WORDS here"), (4, "same words here"), (None, "no identifier at all"), (6, long), (7, long + " end"), (8, "before " + passage + " after"), (9, "kept as it is")]
+    types = "doc_id long, text string, lang string, source string, n_chars long, key_ string, id int, toxic int"
+    docs = spark.createDataFrame([(i, t, None, "s", None, "k", 1, 0) for i, t in rows], types)
+    labels = spark.createDataFrame([(9, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
+    assert set(got) == {2, 4, None, 6, 9}
+    texts = {2: "", None: "no identifier at all", 6: long, 9: "kept as it is"}
+    for i, t in texts.items():
+        assert got[i].token_ids == library.encode(t, add_special_tokens=False).ids and got[i].round_trip
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
