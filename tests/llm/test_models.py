@@ -268,6 +268,46 @@ def test_toxicity_fit_converges():
     assert np.abs(grad).max() < 1e-3
 
 
+def plain_logistic(x, y):
+    """Newton's method on a dense matrix; the last column is the constant, which bears no ridge."""
+    w, penalty = np.zeros(x.shape[1]), np.append(np.ones(x.shape[1] - 1), 1e-9)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return w
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    """The whole chain, out-of-fold inputs and threshold included, against dense fits on words by name."""
+    r = np.random.default_rng(12)
+    vocabulary = [f"{a}{b}" for a in ("tra", "wonder", "stone", "qu") for b in ("", "sh", "shy", "fully", "x1", "É")]
+    words = [[vocabulary[j] for j in r.integers(0, len(vocabulary), r.integers(1, 9))] for _ in range(500)]
+    labels = []
+    for i, own in enumerate(words[:400]):
+        quality = int(("wonder" in own) != (r.random() < 0.1))
+        labels.append((i, None if i % 9 == 0 else quality, None if i % 7 == 0 else int(("trash" in own or not quality) != (r.random() < 0.1))))
+    docs = spark.createDataFrame([(i, ", ".join(w.upper() if i % 2 and w.isascii() else w for w in own)) for i, own in enumerate(words)], "doc_id long, text string")
+    got = {x.id: x for x in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("quality", "toxic"))).collect()}
+    features = [{w.encode() for w in own} | {(w.encode()[:n], n) for w in own for n in (5, 6, 7, 8) if len(w.encode()) >= n} for own in words]
+    known = sorted(set().union(*features[:400]), key=str)
+    x = np.array([[float(f in own) for f in known] + [1.0] for own in features])
+    fold = (toxicity.K.mix(np.arange(400).view(np.uint64)) % np.uint64(toxicity.FOLDS)).astype(int)
+    train, final = x[:400], x
+    for c, name in enumerate(("quality", "toxic")):
+        y = np.array([-1 if row[1 + c] is None else row[1 + c] for row in labels])
+        out = np.zeros(400)
+        for f in range(toxicity.FOLDS):
+            inside = (y >= 0) & (fold != f)
+            out[fold == f] = 1 / (1 + np.exp(-train[fold == f] @ plain_logistic(train[inside], y[inside])))
+        p = 1 / (1 + np.exp(-final @ plain_logistic(train[y >= 0], y[y >= 0])))
+        assert np.abs([got[i][f"p_{name}"] - p[i] for i in range(500)]).max() < 1e-4
+        tried = np.linspace(0.35, 0.65, 25)
+        f1 = np.array([2 * ((out >= t) & (y == 1)).sum() / ((out[y >= 0] >= t).sum() + (y == 1).sum()) for t in tried])
+        limit = np.median(tried[f1 >= f1.max() - 1e-12])
+        train, final = np.insert(train, -1, out, axis=1), np.insert(final, -1, p, axis=1)
+    assert all(got[i].toxic == (p[i] >= limit) for i in range(500) if abs(p[i] - limit) > 1e-4)
+
+
 # ---------------------------------------------------------------- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
