@@ -10,11 +10,16 @@ token; texts with the same path so far form a bucket; a bucket of more than `lea
 is split by another coordinate, which the path itself chooses, and so on.  Small buckets
 are brute-forced.  A pair of similarity s survives d splits of one run with probability
 s^(d+1); the number of runs is the least that finds a pair at the threshold, after the
-most splits, with the target recall.  What still is large after that (members alike in
-nearly all) is brute-forced in tiles of blocks against blocks, so no bucket is capped and
-no task gets a whole large one.  Sizes of buckets are a table before paths are joined to
+most splits, with the target recall.  Sizes of buckets are a table before paths are joined to
 them, so a bucket that holds much of the corpus is one that Spark splits in the join.
 
+Near copies fall into one large bucket in every run, and splits do not part them.  So one
+member of each large bucket is held against all others before the first split; components
+of the candidates found so, over all runs, need no pairs inside.  A bucket in which at most
+`leaf` members are outside its largest component ends there: these are held against all
+its members in tiles of blocks against blocks.  Others are split, and what still is large
+after the last split ends likewise, so no bucket is capped and no task gets a whole large one.
+
 A bucket gives, of the pairs that the vectors make candidates, only a spanning forest, not
 the pairs.  Components of these forests are then verified: inside each, exact similarities
 of all pairs are computed on whole sets (in tiles, for large components), which gives each
@@ -236,6 +241,44 @@ def _met(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     return paths.join(sizes, "key").join(vectors, "sid").select("key", "sid", "vector", "size")
 
 
+def _stars(share: float):
+    """Edges of a bucket's pivot to the members that are candidates with it."""
+    least = math.ceil(share * COORDINATES)
+
+    def stars(batches):
+        for batch in batches:
+            near = pa.array((_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    return stars
+
+
+def _starred(large: DataFrame, share: float) -> DataFrame:
+    """Edges (a, b) of each large bucket's pivot, which its key chooses."""
+    least = F.min(F.struct(F.xxhash64("key", "sid").alias("h"), "sid", "vector")).alias("least")
+    pivots = S.save(large.groupBy("key").agg(least).select("key", F.col("least.sid").alias("pivot"), F.col("least.vector").alias("own")), "pivots")
+    return large.join(pivots, "key").filter("sid != pivot").select("pivot", "sid", "vector", "own").mapInArrow(_stars(share), "a long, b long")
+
+
+def _parted(large: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets with `outside`, whether they are not in the bucket's largest component, and how many are (`rest`); (size, rest) of each bucket."""
+    named = S.save(large.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "named")
+    parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"))
+    largest = S.save(largest.select("key", F.col("main.root").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("rest")), "largest")
+    members = named.join(largest.select("key", "main", "rest"), "key").withColumn("outside", F.col("root") != F.col("main"))
+    return members.select("key", "sid", "vector", "size", "rest", "outside"), largest
+
+
+def _crossed(members: DataFrame, leaf: int) -> DataFrame:
+    """Members of large buckets dealt to tiles of about `leaf` against `leaf`, that hold all pairs but those inside the largest component."""
+    rest, main = F.ceil(F.col("rest") / leaf), F.ceil((F.col("size") - F.col("rest")) / leaf)
+    deal = F.xxhash64("sid")
+    out = members.withColumn("block", F.when(F.col("outside"), F.pmod(deal, rest)).otherwise(rest + F.pmod(deal, main)))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), rest + main).otherwise(rest) - 1)))
+    return out.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "sid", "vector")
+
+
 def _tiled(rows: DataFrame, key: str, sid: str, leaf: int, others: list[str]) -> DataFrame:
     """Members of large groups dealt to tiles, pairs of blocks of about `leaf` members; `side` is a member's block."""
     n = F.ceil(F.col("size") / leaf)
@@ -252,19 +295,24 @@ def candidates(classes: DataFrame, threshold: float, recall: float, leaf: int, s
     share, runs = candidate_share(threshold), runs_needed(threshold, recall, splits)
     brute = lambda rows, n: rows.select("key", "sid", "vector").repartition(S.partitions(spark, n * _ROW), "key").sortWithinPartitions("key").mapInArrow(_bruteforce(share), "a long, b long")
     paths = classes.select("sid", "vector").mapInArrow(_roots(runs), "key long, sid long")
-    out = None
+    out = roots = None
     for depth in range(splits + 1):
         level = S.save(_met(paths, classes.select("sid", "vector")), "paths")
-        n = level.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(0)).alias("tiled")).first()
-        edges = brute(level.filter(F.col("size") <= leaf), n.n)
+        edges = brute(level.filter(F.col("size") <= leaf), level.count())
         out = edges if out is None else out.union(edges)
         large = level.filter(F.col("size") > leaf)
         if large.isEmpty():
             return out
-        if depth == splits:
-            return out.union(brute(_tiled(large, "key", "sid", leaf, ["vector"]), n.tiled))
-        paths = large.select("key", "sid", "vector").mapInArrow(_deeper, "key long, sid long")
-    return out
+        if roots is None:
+            stars = S.save(_starred(large, share), "stars")
+            out, roots = out.union(stars), components(stars).withColumnRenamed("node", "sid")
+        members, buckets = _parted(large, roots)
+        ends = (F.col("rest") > 0) & ((F.col("rest") <= leaf) | F.lit(depth == splits))
+        tiles = F.col("rest") * F.ceil(F.col("size") / leaf + 1) + F.col("size") * F.ceil(F.col("rest") / leaf)
+        out = out.union(brute(_crossed(members.filter(ends), leaf), buckets.filter(ends).agg(F.sum(tiles)).first()[0] or 0))
+        if depth == splits or buckets.filter(F.col("rest") > leaf).isEmpty():
+            return out
+        paths = S.save(members.filter(F.col("rest") > leaf).select("key", "sid", "vector").mapInArrow(_deeper, "key long, sid long"), "keys")
 
 
 _MEMBER = T.StructType().add("sid", "long").add("root", "long").add("size", "long").add("hashes", "binary")

@@ -140,6 +140,30 @@ def test_rows_without_identifiers_do_not_meet(spark):
     assert members.count() == members.select("sid").distinct().count() == 80
 
 
+def test_near_copies_are_not_split_in_vain(spark):
+    """A large group of near copies ends at the first level of each run, whatever links to a few of its members only."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 9000)}"
+    base, band = [word() for _ in range(200)], [word() for _ in range(400)]
+    made, rows = [], []
+    for size in (60, 120):
+        copies = [[*base[:at], word(), *base[at + 1 :]] for at in range(size)]
+        far = [[*base[: 150 - 4 * i], *[word() for _ in range(60 + 4 * i)]] for i in range(6)]  # less and less like the others
+        near = [[*t[:20], word(), *t[21:]] for t in far]
+        slid = [band[2 * i : 2 * i + 100] for i in range(80)]  # linked to a few neighbours each
+        rows = [(i, " ".join(t)) for i, t in enumerate([*copies, *far, *near, *slid])]
+        sent, real = [], jaccard_join.S.save
+        try:
+            jaccard_join.S.save = lambda df, label: sent.append((label, out := real(df, label))) or out
+            got = jaccard_join.links(frame(spark, rows), leaf=40).collect()
+        finally:
+            jaccard_join.S.save = real
+        assert sorted(map(tuple, got), key=str) == brute(rows)
+        made.append(sum(df.count() for label, df in sent if label == "paths"))
+    runs = jaccard_join.runs_needed()
+    assert made[0] <= 1.2 * runs * (60 + 12 + 80) and made[1] <= 1.2 * runs * (120 + 12 + 80)
+
+
 # ---------------------------------------------------------------- decontamination
 
 
