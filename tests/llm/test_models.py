@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -255,6 +256,31 @@ def test_toxicity_many_telling_words(spark):
     assert sum(got) >= 0.97 * len(got)
 
 
+def test_toxicity_places_stay_off_the_driver(spark):
+    """The driver's memory must not grow with the words of the documents that teach, only with their number."""
+    r = np.random.default_rng(14)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 6000, 1200))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, i % 2, int(r.random() < 0.5)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs.limit(20), table, ("quality", "toxic"))  # what is imported once
+    tracemalloc.start()
+    chain = toxicity.train(docs, table, ("quality", "toxic"), keep_features=20000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chain.places) > 5000 and chain.constants == [None, None]
+    assert most < 4 << 20  # of places, 1500 documents have about 1.6 million
+
+
+def test_toxicity_same_fit_for_rows_that_share_an_identifier(spark):
+    """Rows of one identifier with different texts: probabilities go to the row they were made for, however rows are dealt."""
+    r = np.random.default_rng(15)
+    rows = [(i // 3, " ".join(f"w{x}" for x in r.integers(0, 40, 8))) for i in range(600)]
+    table = spark.createDataFrame([(i, i % 2, int(r.random() < 0.5)) for i in range(200)], "doc_id long, quality int, toxic int")
+    chains = [toxicity.train(spark.createDataFrame(own, "doc_id long, text string").repartition(n), table, ("quality", "toxic")) for own, n in ((rows, 1), (rows[::-1], 7))]
+    assert all(np.array_equal(a, b) for a, b in zip(chains[0].weights, chains[1].weights, strict=True))
+    assert chains[0].thresholds == chains[1].thresholds
+
+
 def test_toxicity_fit_converges():
     r = np.random.default_rng(5)
     rows = [np.unique(np.concatenate([[0, 1], r.integers(2, 60, r.integers(1, 9))])) for _ in range(400)]  # two are in all: badly conditioned
