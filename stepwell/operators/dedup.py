@@ -2,7 +2,8 @@
 
 A chunk is (src, l1, l2, offset, size, is_last, sha1); the original of a digest is its
 least (src, l1, l2).  Payloads stay out of shuffles: digests and keys are aggregated, and
-bytes are cut, compressed and joined only where they are needed.
+bytes are cut, compressed and joined only where they are needed.  Arrow batches are cut where
+they lie and go back in pieces, so a worker holds what Spark sends it at once and little more.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,8 +25,11 @@ from stepwell.functions.columns import slot, slot_middle
 from stepwell.session import write_bytes
 
 JUMP = 2 << 20
+#: Rows and bytes after which a batch goes back to Spark.
+ROWS, BYTES = 4096, 4 << 20
 #: The archive's magic number, codec numbers and record types.
 MAGIC, CODECS, FINGERPRINT, PAYLOAD = 123456, {"gzip": 0, "bzip2": 1, "none": 2}, 0, 1
+_LONG, _BYTES = pa.int64(), pa.binary()
 _CHUNK = "src long, l1 long, l2 long, offset long, size long, is_last boolean, sha1 string"
 
 
@@ -35,39 +40,68 @@ def _bytes_of(df: DataFrame, id_col: str, data_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("src"), F.coalesce(data, F.lit(b"")).alias("data"))
 
 
+def _inside(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, not copied, and where each value begins and the last one ends."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = values.buffers()
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(values.type) else np.int32)
+    return np.frombuffer(data or b"", np.uint8), at[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size; what counts of a row are its bytes, if it has any."""
+    wide = [i for i, k in enumerate(kinds) if k == _BYTES]
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(row[i] or b"") for i in wide)
+        if len(held) >= ROWS or size >= BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def _coarse(body: np.ndarray, at: np.ndarray, jump: int, mask: int, winlen: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """Coarse chunks of a column's values: (value, l1, offset, size)."""
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        found = rabin.coarse_ends(body[a:b].tobytes(), jump, mask, winlen) if b - a > jump else [b - a] * (b > a)
+        for l1, (x, y) in enumerate(zip([0, *found], found, strict=False)):
+            yield k, l1, x, y - x
+
+
 def chunks(df: DataFrame, id_col: str = "doc_id", data_col: str = "text", jump: int = JUMP, mask: int = rabin.MASK, winlen: int = 0, with_data: bool = False) -> DataFrame:
     """Two-level chunks of each stream (text or binary): coarse by `jump`, refined inside; empty streams have none."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["src", "l1", "l2", "offset", "size", "is_last", "sha1"], [*[_LONG] * 5, pa.bool_(), pa.string()]
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids, (body, at) = batch.column(0).to_pylist(), _inside(batch.column(1))
+        parts = np.array(list(_coarse(body, at, jump, mask, winlen)), np.int64).reshape(-1, 4)
+        begin = at[parts[:, 0]] + parts[:, 2]
+        for (k, l1, base, size), start, own in zip(parts.tolist(), begin.tolist(), rabin.ends_inside(body, begin, parts[:, 3], mask, winlen), strict=True):
+            for l2, (a, b) in enumerate(zip([0, *own], own, strict=False)):
+                part = body[start + a : start + b]
+                yield (ids[k], l1, l2, base + a, b - a, b == size, hashlib.sha1(part).hexdigest(), *([part.tobytes()] * with_data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            coarse = [rabin.coarse_ends(t, jump, mask, winlen) for t in texts]
-            parts = [(i, l1, t[a:b], a) for i, t, es in zip(ids, texts, coarse, strict=True) for l1, (a, b) in enumerate(zip([0, *es], es, strict=False))]
-            rows = []
-            for (i, l1, part, base), own in zip(parts, rabin.ends_side_by_side([p[2] for p in parts], mask, winlen), strict=True):
-                for l2, (a, b) in enumerate(zip([0, *own], own, strict=False)):
-                    rows.append((i, l1, l2, base + a, b - a, b == len(part), hashlib.sha1(part[a:b]).hexdigest(), *([part[a:b]] * with_data)))
-            cols = list(zip(*rows, strict=True)) or [[]] * (7 + with_data)
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.binary()] * with_data
-            names = ["src", "l1", "l2", "offset", "size", "is_last", "sha1"] + ["data"] * with_data
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            yield from _batches(cut(batch), names + ["data"] * with_data, kinds + [_BYTES] * with_data)
 
-    return _bytes_of(df, id_col, data_col).mapInArrow(cut, _CHUNK + ", data binary" * with_data)
+    return _bytes_of(df, id_col, data_col).mapInArrow(run, _CHUNK + ", data binary" * with_data)
 
 
 def fragments(df: DataFrame, id_col: str = "doc_id", data_col: str = "text", jump: int = JUMP, mask: int = rabin.MASK) -> DataFrame:
     """Coarse chunks only: (src, l1, offset, size)."""
 
-    def cut(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                es = rabin.coarse_ends(t, jump, mask)
-                rows += [(i, n, a, b - a) for n, (a, b) in enumerate(zip([0, *es], es, strict=False))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "l1", "offset", "size"])
+            ids = batch.column(0).to_pylist()
+            rows = ((ids[k], *rest) for k, *rest in _coarse(*_inside(batch.column(1)), jump, mask))
+            yield from _batches(rows, ["src", "l1", "offset", "size"], [_LONG] * 4)
 
-    return _bytes_of(df, id_col, data_col).mapInArrow(cut, "src long, l1 long, offset long, size long")
+    return _bytes_of(df, id_col, data_col).mapInArrow(run, "src long, l1 long, offset long, size long")
 
 
 def whole(df: DataFrame, id_col: str = "doc_id", data_col: str = "text") -> DataFrame:
@@ -167,14 +201,16 @@ def archive(found: DataFrame, codec: str = "none") -> DataFrame:
     d = deduplicate(found.drop("data")).select("src", "l1", "l2", "sha1", "is_dup")
     rows = found.select("src", "l1", "l2", "data").join(d, ["src", "l1", "l2"])
 
-    def bodies(batches):
-        for b in batches:
-            dup, sha, data = b.column("is_dup").to_pylist(), b.column("sha1").to_pylist(), b.column("data").to_pylist()
-            body = [bytes.fromhex(s) if x else squeeze(t, codec) for x, s, t in zip(dup, sha, data, strict=True)]
-            kind = [FINGERPRINT if x else PAYLOAD for x in dup]
-            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("l1"), b.column("l2"), pa.array(kind, pa.int32()), pa.array([len(x) for x in body], pa.int64()), pa.array(body, pa.binary()), b.column("sha1")], names=["src", "l1", "l2", "type", "size", "body", "sha1"])
+    def bodies(batch):
+        for src, l1, l2, data, sha, dup in zip(*map(batch.column, ("src", "l1", "l2", "data", "sha1", "is_dup")), strict=True):
+            body = bytes.fromhex(sha.as_py()) if dup.as_py() else squeeze(data.as_py(), codec)
+            yield src.as_py(), l1.as_py(), l2.as_py(), FINGERPRINT if dup.as_py() else PAYLOAD, len(body), body, sha.as_py()
+
+    def run(batches):
+        for batch in batches:
+            yield from _batches(bodies(batch), ["src", "l1", "l2", "type", "size", "body", "sha1"], [*[_LONG] * 3, pa.int32(), _LONG, _BYTES, pa.string()])
 
-    return rows.mapInArrow(bodies, "src long, l1 long, l2 long, type int, size long, body binary, sha1 string")
+    return rows.mapInArrow(run, "src long, l1 long, l2 long, type int, size long, body binary, sha1 string")
 
 
 def decode(rows: DataFrame, codec: str = "none") -> DataFrame:
@@ -185,11 +221,15 @@ def decode(rows: DataFrame, codec: str = "none") -> DataFrame:
     late = F.col("p_key").isNull() | (F.col("p_key") > key)
     checked = F.when(late, F.raise_error(F.lit("data out of order: a digest stands before its payload"))).otherwise(F.col("p_body"))
 
-    def open_(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([unsqueeze(x, codec) for x in b.column(3).to_pylist()], pa.binary())], names=["src", "l1", "l2", "data"])
+    def opened(batch):
+        for src, l1, l2, body in zip(*batch.columns, strict=True):
+            yield src.as_py(), l1.as_py(), l2.as_py(), unsqueeze(body.as_py(), codec)
+
+    def run(batches):
+        for batch in batches:
+            yield from _batches(opened(batch), ["src", "l1", "l2", "data"], [*[_LONG] * 3, _BYTES])
 
-    return met.select("src", "l1", "l2", checked.alias("data")).mapInArrow(open_, "src long, l1 long, l2 long, data binary")
+    return met.select("src", "l1", "l2", checked.alias("data")).mapInArrow(run, "src long, l1 long, l2 long, data binary")
 
 
 def joined(decoded: DataFrame) -> DataFrame:

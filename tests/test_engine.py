@@ -4,8 +4,11 @@ import hashlib
 import json
 import os
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,44 @@ def test_chunks(spark):
     assert again.exceptAll(dedup.chunks(df.coalesce(1), jump=1000)).count() == 0
 
 
+def test_chunks_of_a_large_batch(spark, monkeypatch):
+    """A worker cuts and unpacks an Arrow batch piece by piece: what it holds and hands back does not follow the batch."""
+    df = spark.createDataFrame([], "doc_id long, text binary")
+    found = spark.createDataFrame([], dedup._CHUNK + ", data binary")
+    rows = dedup.archive(found, "gzip")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    noise = random.Random(7).randbytes(1 << 16)
+    texts = [noise[i : i + 4000] for i in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array(texts, pa.binary())], names=["src", "data"])
+
+    def most(run, batch):
+        """All rows, and the most bytes that Python held meanwhile."""
+        out = []
+        tracemalloc.start()
+        for b in run(iter([batch])):
+            assert b.num_rows <= dedup.ROWS and b.nbytes < dedup.BYTES + (2 << 20)
+            out.append(b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return pa.Table.from_batches(out).to_pylist(), peak
+
+    got, peak = most(dedup.chunks(df, jump=4096), batch.slice(1000))
+    want = [(i, a, b - a, hashlib.sha1(t[a:b]).hexdigest()) for i, t in enumerate(texts) if i >= 1000 for own in [rabin.ends(t)] for a, b in zip([0, *own], own)]
+    assert [(x["src"], x["offset"], x["size"], x["sha1"]) for x in got] == want
+    assert peak < 5000 * 4000 / 2
+    got, peak = most(dedup.chunks(df, jump=4096, with_data=True), batch)
+    assert len(got) >= 6000 and all(x["data"] == texts[x["src"]][x["offset"] : x["offset"] + x["size"]] for x in got)
+    assert peak < 6000 * 4000 / 2
+    assert len(most(dedup.fragments(df, jump=4096), batch)[0]) == 6000
+    same = pa.array(range(20), pa.int64())
+    bodies = pa.array([zlib.compress(bytes(1 << 20))] * 20, pa.binary())
+    got, peak = most(dedup.decode(rows, "gzip"), pa.RecordBatch.from_arrays([same, same, same, bodies], names=["src", "l1", "l2", "data"]))
+    assert len(got) == 20 and all(x["data"] == bytes(1 << 20) for x in got) and peak < 10 << 20
+    parts = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(0), batch.column(1), pa.array([hashlib.sha1(t).hexdigest() for t in texts]), pa.array([i % 3 == 0 for i in range(6000)])], names=["src", "l1", "l2", "data", "sha1", "is_dup"])
+    got, peak = most(dedup.archive(found, "none"), parts)
+    assert [x["body"] for x in got] == [hashlib.sha1(t).digest() if i % 3 == 0 else t for i, t in enumerate(texts)] and peak < 8 << 20
+
+
 def test_chunk_goldens(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert dedup.chunks(docs).count() - docs.filter("length(text) > 0").count() == 112
